@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.metrics import BLOCK_METRICS, METRICS
 from tarnflow.functions.text import Tokenizer, tokenize
-from tarnflow.operators.stateful import merged
+from tarnflow.operators.stateful import multiset
 from tarnflow.plans.node import SEQ, Context, Node, State, Step, data_columns
 from tarnflow.zset import W, consolidate
 
@@ -80,8 +80,7 @@ class Bm25(Node):
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         old = state.get("docs")
-        m = merged(delta.select("key", "text", W), old, ["key", "text"]).filter("n1 > 0")
-        docs = m.select("key", "text", F.col("n1").alias("n"), self.tokenizer(F.col("text")).alias("toks")).persist()
+        docs = multiset(delta.select("key", "text", W), old, ["key", "text"]).select("key", "text", "__n", self.tokenizer(F.col("text")).alias("toks")).persist()
         index = postings(docs).repartition("term").sortWithinPartitions("term", "key")
         return Step({"docs": docs, "postings": index})
 

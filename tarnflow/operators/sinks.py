@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.stateful import ascending, descending, first_copies, merged
+from tarnflow.operators.stateful import N, ascending, descending, first_copies, multiset, shown
 from tarnflow.plans.node import SEQ, Context, Node, State, Step, checked, data_columns
 from tarnflow.zset import W, consolidate
 
@@ -17,6 +17,11 @@ def _one(df: DataFrame) -> Row | None:
     return rows[0] if rows else None
 
 
+def counted(df: DataFrame) -> str:
+    """The count column of a shown multiset."""
+    return N if N in df.columns else "n"
+
+
 class Count(Node):
     """The sum of all multiplicities, not clamped; 0 when empty."""
 
@@ -52,15 +57,15 @@ class Bag(Node):
         self.name = name
 
     def batch(self, z: DataFrame) -> DataFrame:
-        return consolidate(z, data_columns(z), clamp=True).withColumnRenamed(W, "n")
+        return shown(consolidate(z, data_columns(z), clamp=True).withColumnRenamed(W, N))
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         cols = data_columns(delta)
-        return Step({"bag": merged(delta, state.get("bag"), cols).filter("n1 > 0").select(*cols, F.col("n1").alias("n"))})
+        return Step({"bag": multiset(delta, state.get("bag"), cols)})
 
     class Reader:
         def __init__(self, state: State) -> None:
-            self.df = state.get("bag")
+            self.df = shown(state["bag"]) if "bag" in state else None
 
         def iter(self) -> DataFrame | None:
             return self.df
@@ -131,11 +136,12 @@ class Stats(Node):
 
 
 def last_writes(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, v, w): the value and weight of the last delta of each key, by ``__seq``; later insertions win ties."""
+    """(keys, __v, __last): the value and weight of the last delta of each key, by ``__seq``; later insertions win ties."""
     rest = [c for c in data_columns(delta) if c not in keys]
     seq = F.col(SEQ) if SEQ in delta.columns else F.lit(0)
     value = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))
-    return delta.groupBy(*keys).agg(F.max_by(F.struct(value.alias("v"), F.col(W).alias("w")), F.struct(seq.alias("s"), F.col(W).alias("w"), value.alias("v"))).alias("m")).select(*keys, "m.v", "m.w")
+    last = F.max_by(F.struct(value.alias("__v"), F.col(W).alias("__last")), F.struct(seq.alias("s"), F.col(W).alias("w"), value.alias("v")))
+    return delta.groupBy(*keys).agg(last.alias("__m")).select(*keys, "__m.__v", "__m.__last")
 
 
 class Table(Node):
@@ -147,7 +153,7 @@ class Table(Node):
 
     def _rows(self, m: DataFrame, z: DataFrame) -> DataFrame:
         rest = [c for c in data_columns(z) if c not in self.keys]
-        return m.filter("w > 0").select(*self.keys, *(F.col(f"v.{c}").alias(c) for c in rest))
+        return m.filter("__last > 0").select(*self.keys, *(F.col(f"__v.{c}").alias(c) for c in rest))
 
     def batch(self, z: DataFrame) -> DataFrame:
         return self._rows(last_writes(z, self.keys), z)
@@ -217,22 +223,22 @@ class Ranked(Node):
         self.name = name
 
     def batch(self, z: DataFrame) -> DataFrame:
-        return consolidate(z, data_columns(z), clamp=True).withColumnRenamed(W, "n")
+        return shown(consolidate(z, data_columns(z), clamp=True).withColumnRenamed(W, N))
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         cols = data_columns(delta)
-        return Step({"all": merged(delta, state.get("all"), cols).filter("n1 > 0").select(*cols, F.col("n1").alias("n"))})
+        return Step({"all": multiset(delta, state.get("all"), cols)})
 
     @staticmethod
     def top(df: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
         """The ``n`` greatest copies, of each group in ``by``."""
-        cols = [c for c in df.columns if c not in ("n", *by)]
-        return first_copies(df, n, descending(cols), "n", by)
+        count = counted(df)
+        return first_copies(df, n, descending([c for c in df.columns if c not in (count, *by)]), count, by)
 
     @staticmethod
     def bottom(df: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
-        cols = [c for c in df.columns if c not in ("n", *by)]
-        return first_copies(df, n, ascending(cols), "n", by)
+        count = counted(df)
+        return first_copies(df, n, ascending([c for c in df.columns if c not in (count, *by)]), count, by)
 
     @staticmethod
     def range(df: DataFrame, low=None, high=None, low_open: bool = False, high_open: bool = False) -> DataFrame:
@@ -247,13 +253,13 @@ class Ranked(Node):
     @staticmethod
     def extremes(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         """The least and the greatest entry (of each group) as structs ``min`` and ``max``, in one aggregation."""
-        cols = [c for c in df.columns if c not in ("n", "score", *by)]
+        cols = [c for c in df.columns if c not in (counted(df), "score", *by)]
         entry = F.struct("score", *cols)
         return df.groupBy(*by).agg(F.min(entry).alias("min"), F.max(entry).alias("max"))
 
     class Reader:
         def __init__(self, state: State, by: Sequence[str] = (), key=None) -> None:
-            df = state.get("all")
+            df = shown(state["all"]) if "all" in state else None
             for c in by if df is not None else ():
                 df = df.filter(F.col(c).eqNullSafe(F.lit(key))).drop(c)
             self.df = df
@@ -268,18 +274,18 @@ class Ranked(Node):
             return None if self.df is None else _one(Ranked.top(self.df, 1))
 
         def iter(self) -> DataFrame | None:
-            return self.df and self.df.orderBy("score", *[c for c in self.df.columns if c not in ("score", "n")])
+            return self.df and self.df.orderBy("score", *[c for c in self.df.columns if c not in ("score", counted(self.df))])
 
         def range(self, *a, **k) -> DataFrame | None:
             return self.df and Ranked.range(self.df, *a, **k)
 
         def top(self, n: int) -> list[Row]:
             rows = self._rows(self.df and Ranked.top(self.df, n))
-            return [r for r in sorted(rows, key=lambda r: tuple(r), reverse=True) for _ in range(r["n"])]
+            return [r for r in sorted(rows, key=lambda r: tuple(r), reverse=True) for _ in range(r[counted(self.df)])]
 
         def bottom(self, n: int) -> list[Row]:
             rows = self._rows(self.df and Ranked.bottom(self.df, n))
-            return [r for r in sorted(rows, key=lambda r: tuple(r)) for _ in range(r["n"])]
+            return [r for r in sorted(rows, key=lambda r: tuple(r)) for _ in range(r[counted(self.df)])]
 
     def reader(self, state: State) -> Ranked.Reader:
         return self.Reader(state)
@@ -292,7 +298,7 @@ class KeyedRanked(Ranked):
 
     class Reader:
         def __init__(self, state: State) -> None:
-            self.state, self.df = state, state.get("all")
+            self.state, self.df = state, shown(state["all"]) if "all" in state else None
 
         def key(self, key) -> Ranked.Reader:
             return Ranked.Reader(self.state, KeyedRanked.by, key)
@@ -319,8 +325,8 @@ class Histogram(Node):
         return consolidate(z.select(self.bucket.alias("bucket"), W), ["bucket"], clamp=True).withColumnRenamed(W, "n")
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
-        m = merged(delta.select(self.bucket.alias("bucket"), W), state.get("buckets"), ["bucket"])
-        return Step({"buckets": m.filter("n1 > 0").select("bucket", F.col("n1").alias("n"))})
+        old = state.get("buckets")
+        return Step({"buckets": shown(multiset(delta.select(self.bucket.alias("bucket"), W), None if old is None else old.withColumnRenamed("n", N), ["bucket"]))})
 
     @staticmethod
     def quantiles(df: DataFrame, qs: Sequence[float]) -> DataFrame:

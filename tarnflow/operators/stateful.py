@@ -12,14 +12,27 @@ from tarnflow.plans.node import SEQ, Context, Node, State, Step, checked, data_c
 from tarnflow.zset import W, consolidate
 
 
+#: The count column of kept multisets; views show it as ``n`` where the datum has no such column.
+N = "__n"
+
+
 def merged(delta: DataFrame, state: DataFrame | None, cols: Sequence[str]) -> DataFrame:
-    """(cols, n0, n1): the clamped count of each datum before and after a delta; one shuffle, nulls equal nulls."""
+    """(cols, __n0, __n1): the clamped count of each datum before and after a delta; one shuffle, nulls equal nulls."""
     zero = F.lit(0).cast("bigint")
-    d = delta.select(*cols, zero.alias("n0"), F.col(W).alias("d"))
+    d = delta.select(*cols, zero.alias("__n0"), F.col(W).alias("__d"))
     if state is not None:
-        d = d.unionByName(state.select(*cols, F.col("n").alias("n0"), zero.alias("d")))
-    m = d.groupBy(*cols).agg(F.sum("n0").alias("n0"), F.sum("d").alias("d"))
-    return m.select(*cols, "n0", F.greatest(F.col("n0") + F.col("d"), zero).alias("n1"))
+        d = d.unionByName(state.select(*cols, F.col(N).alias("__n0"), zero.alias("__d")))
+    m = d.groupBy(*cols).agg(F.sum("__n0").alias("__n0"), F.sum("__d").alias("__d"))
+    return m.select(*cols, "__n0", F.greatest(F.col("__n0") + F.col("__d"), zero).alias("__n1"))
+
+
+def multiset(delta: DataFrame, state: DataFrame | None, cols: Sequence[str]) -> DataFrame:
+    """The kept multiset (cols, __n) after a delta."""
+    return merged(delta, state, cols).filter("__n1 > 0").select(*cols, F.col("__n1").alias(N))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df if "n" in df.columns else df.withColumnRenamed(N, "n")
 
 
 def changes(old: DataFrame | None, new: DataFrame | None, cols: Sequence[str]) -> DataFrame:
@@ -46,8 +59,8 @@ class Distinct(Node):
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         cols = data_columns(delta)
         m = merged(delta, state.get("counts"), cols).persist()
-        out = m.filter((F.col("n0") > 0) != (F.col("n1") > 0)).select(*cols, F.when(F.col("n1") > 0, 1).otherwise(-1).cast("bigint").alias(W))
-        return Step({"counts": m.filter("n1 > 0").select(*cols, F.col("n1").alias("n"))}, _sequenced(out))
+        out = m.filter((F.col("__n0") > 0) != (F.col("__n1") > 0)).select(*cols, F.when(F.col("__n1") > 0, 1).otherwise(-1).cast("bigint").alias(W))
+        return Step({"counts": m.filter("__n1 > 0").select(*cols, F.col("__n1").alias(N))}, _sequenced(out))
 
 
 class Aggregate(Node):
@@ -170,8 +183,8 @@ class TopK(Node):
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         cols = data_columns(delta)
         old = state.get("all")
-        new = merged(delta, old, cols).filter("n1 > 0").select(*cols, F.col("n1").alias("n")).persist()
-        top = lambda s: None if s is None else first_copies(s.withColumnRenamed("n", W), self.k, descending(cols))
+        new = multiset(delta, old, cols).persist()
+        top = lambda s: None if s is None else first_copies(s.withColumnRenamed(N, W), self.k, descending(cols))
         return Step({"all": new}, changes(top(old), top(new), cols))
 
 
@@ -199,20 +212,20 @@ class Retain(Node):
         cols = data_columns(delta)
         old = state.get("kept")
         net = consolidate(delta, cols)
-        fresh = net.filter(F.col(W) > 0).select(*cols, F.lit(ctx.now_ms).cast("bigint").alias("ms"), F.lit(ctx.version).cast("bigint").alias("seq"), F.col(W).alias("n"))
+        fresh = net.filter(F.col(W) > 0).select(*cols, F.lit(ctx.now_ms).cast("bigint").alias("__ms"), F.lit(ctx.version).cast("bigint").alias("__tx"), F.col(W).alias(N))
         if old is None:
             return Step({"kept": fresh}, _sequenced(net.filter(F.col(W) > 0)))
         limit = ctx.now_ms - self.horizon
-        aged = old.filter(F.col("ms") < limit).select(*cols, (-F.col("n")).alias(W))
-        alive = old.filter(F.col("ms") >= limit)
+        aged = old.filter(F.col("__ms") < limit).select(*cols, (-F.col(N)).alias(W))
+        alive = old.filter(F.col("__ms") >= limit)
         # a commit's insertions outnumbering its retractions have a positive net, so negatives only meet kept copies
-        need = net.filter(F.col(W) < 0).select(*cols, (-F.col(W)).alias("need"))
-        both = alive.withColumn("need", F.lit(0).cast("bigint")).unionByName(need.select(*cols, F.lit(-(2**62)).alias("ms"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("n"), "need"))
-        w = Window.partitionBy(*cols).orderBy("ms", "seq")
-        both = both.withColumn("all", F.sum("need").over(Window.partitionBy(*cols))).withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        both = both.withColumn("gone", F.least(F.col("n"), F.greatest(F.col("all") - F.col("before"), F.lit(0)))).persist()
-        cancelled = both.filter("gone > 0").select(*cols, (-F.col("gone")).alias(W))
-        kept = both.filter("n - gone > 0").select(*cols, "ms", "seq", (F.col("n") - F.col("gone")).alias("n"))
+        need = net.filter(F.col(W) < 0).select(*cols, (-F.col(W)).alias("__need"))
+        both = alive.withColumn("__need", F.lit(0).cast("bigint")).unionByName(need.select(*cols, F.lit(-(2**62)).alias("__ms"), F.lit(0).cast("bigint").alias("__tx"), F.lit(0).cast("bigint").alias(N), "__need"))
+        w = Window.partitionBy(*cols).orderBy("__ms", "__tx")
+        both = both.withColumn("__all", F.sum("__need").over(Window.partitionBy(*cols))).withColumn("__before", F.coalesce(F.sum(N).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        both = both.withColumn("__gone", F.least(F.col(N), F.greatest(F.col("__all") - F.col("__before"), F.lit(0)))).persist()
+        cancelled = both.filter("__gone > 0").select(*cols, (-F.col("__gone")).alias(W))
+        kept = both.filter("__n - __gone > 0").select(*cols, "__ms", "__tx", (F.col(N) - F.col("__gone")).alias(N))
         out = aged.unionByName(cancelled).unionByName(net.filter(F.col(W) > 0))
         return Step({"kept": kept.unionByName(fresh)}, _sequenced(consolidate(out, cols)))
 

@@ -170,43 +170,43 @@ class KeyedTx(Tx):
         cols = [f.name for f in self._stream.schema.fields]
         df = self._stream.frame(rows)
         order = F.col(SEQ) if SEQ in df.columns else F.lit(0)
-        self._ops.append(df.select(*cols, F.lit(1).alias("op"), (order + len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
+        self._ops.append(df.select(*cols, F.lit(1).alias("__op"), (order + len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
 
     def remove(self, keys: DataFrame | Sequence[tuple]) -> None:
         s = self._stream
         fields = {f.name: f for f in s.schema.fields}
         df = keys if isinstance(keys, DataFrame) else s.spark.createDataFrame(list(keys), T.StructType([fields[k] for k in s.keys]))
         rest = [F.lit(None).cast(f.dataType).alias(c) for c, f in fields.items() if c not in s.keys]
-        self._ops.append(df.select(*s.keys, *rest).select(*fields, F.lit(-1).alias("op"), F.lit(len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
+        self._ops.append(df.select(*s.keys, *rest).select(*fields, F.lit(-1).alias("__op"), F.lit(len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
 
     def _joined(self) -> DataFrame:
-        """(keys, o, v, op): the committed row and the last operation of each key."""
+        """(keys, __o, __v, __op): the committed row and the last operation of each key."""
         s = self._stream
         cols = [f.name for f in s.schema.fields]
         old = s._pinned.get(ROOT, {}).get("rows")
-        frame = s.frame([]).select(*cols, F.lit(0).alias("op"), F.lit(-1).cast("bigint").alias(SEQ))
+        frame = s.frame([]).select(*cols, F.lit(0).alias("__op"), F.lit(-1).cast("bigint").alias(SEQ))
         if old is not None:
-            frame = old.select(*cols, F.lit(0).alias("op"), F.lit(-1).cast("bigint").alias(SEQ))
+            frame = old.select(*cols, F.lit(0).alias("__op"), F.lit(-1).cast("bigint").alias(SEQ))
         for o in self._ops:
             frame = frame.unionByName(o)
         v = F.struct(*(c for c in cols if c not in s.keys)) if len(cols) > len(s.keys) else F.struct(F.lit(0).alias("_"))
-        w = F.max_by(F.struct(v.alias("v"), F.col("op")), F.struct(SEQ, "op"))
-        o = F.first(F.when(F.col("op") == 0, v), ignorenulls=True)
-        return frame.groupBy(*s.keys).agg(w.alias("m"), o.alias("o")).select(*s.keys, "o", "m.v", "m.op")
+        w = F.max_by(F.struct(v.alias("__v"), F.col("__op")), F.struct(SEQ, "__op"))
+        o = F.first(F.when(F.col("__op") == 0, v), ignorenulls=True)
+        return frame.groupBy(*s.keys).agg(w.alias("__m"), o.alias("__o")).select(*s.keys, "__o", "__m.__v", "__m.__op")
 
     def delta(self) -> DataFrame:
         s = self._stream
         rest = [f.name for f in s.schema.fields if f.name not in s.keys]
         cols = [f.name for f in s.schema.fields]
-        j = self._joined().filter("op <> 0")
-        changed = j.filter((F.col("op") == -1) | ~F.col("o").eqNullSafe(F.col("v")))
-        row = lambda side, w: changed.filter(F.col("o").isNotNull() if side == "o" else F.col("op") == 1).select(*s.keys, *(F.col(f"{side}.{c}").alias(c) for c in rest), F.lit(w).cast("bigint").alias(W), F.lit(max(w, 0)).cast("bigint").alias(SEQ)).select(*cols, W, SEQ)
+        j = self._joined().filter("__op <> 0")
+        changed = j.filter((F.col("__op") == -1) | ~F.col("__o").eqNullSafe(F.col("__v")))
+        row = lambda side, w: changed.filter(F.col("__o").isNotNull() if side == "o" else F.col("__op") == 1).select(*s.keys, *(F.col(f"__{side}.{c}").alias(c) for c in rest), F.lit(w).cast("bigint").alias(W), F.lit(max(w, 0)).cast("bigint").alias(SEQ)).select(*cols, W, SEQ)
         return row("o", -1).unionByName(row("v", 1))
 
     def rows(self) -> DataFrame:
         s = self._stream
         rest = [f.name for f in s.schema.fields if f.name not in s.keys]
-        return self._joined().filter("op >= 0").select(*s.keys, *(F.col(f"v.{c}").alias(c) for c in rest)).select(*(f.name for f in s.schema.fields))
+        return self._joined().filter("__op >= 0").select(*s.keys, *(F.col(f"__v.{c}").alias(c) for c in rest)).select(*(f.name for f in s.schema.fields))
 
     def get(self, *key):
         """The row of a key, this transaction's writes included."""
