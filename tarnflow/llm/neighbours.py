@@ -140,7 +140,7 @@ def fit_router(vectors: DataFrame, count: int, train: int = TRAIN, part_rows: in
         return None, 1
     share = train / max(count, 1)
     sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.3 * share) + 1)).orderBy(F.xxhash64("id")).limit(train) if count > train else vectors.orderBy("id")
-    x = np.stack(sample.select("v").toArrow()["v"].combine_chunks().flatten().to_numpy().reshape(-1, vectors.first()["v"].__len__())).astype(np.float32)
+    x = _matrix(sample.select("v").toArrow()["v"])
     graph = nearest(x, x, k + 1)
     part = balanced_parts(x, graph, parts)
     return Router(x, graph, part, parts), parts

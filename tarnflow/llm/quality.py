@@ -147,7 +147,7 @@ def describe(text: str | None) -> tuple | None:
                 kind = WEAK if k >= 12 else JUNK
             elif kind == WEAK and (aligned[i] or marked[i] or record[i]):
                 kind = JUNK
-            units.append([len(p), kind, i, " ".join(ws) or p])
+            units.append([len(p), kind, i, p])
     seen = Counter(u[3] for u in units)
     for u in units:
         if seen[u[3]] >= 3:
