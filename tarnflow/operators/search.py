@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.functions.metrics import BLOCK_METRICS, METRICS
-from tarnflow.functions.text import Tokenizer, tokenize
-from tarnflow.operators.stateful import multiset
-from tarnflow.plans.node import SEQ, Context, Node, State, Step, data_columns
+from tarnflow.functions.text import Tokenizer, count_in, tokenize
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, touched
 from tarnflow.zset import W, consolidate
 
 K1, B = 1.2, 0.75
@@ -34,9 +33,10 @@ def bm25(docs: DataFrame, query: str, limit: int | None = None, key: str = "key"
     """
     terms = query_terms(docs, query, tokenizer)
     toks = F.col("toks") if "toks" in docs.columns else tokenizer(F.col(text))
-    d = docs.select(F.col(key).alias("key"), toks.alias("toks"))
-    is_term = lambda w: lambda t: t == w
-    tf = [F.size(F.filter("toks", is_term(w))) for w in terms]
+    # the generator keeps the optimizer from copying the tokenizer into every expression that uses its result
+    once = F.explode(F.array(F.coalesce(toks, F.array().cast("array<string>"))))
+    d = docs.select(F.col(key).alias("key"), once.alias("toks"))
+    tf = [count_in(F.col("toks"), w) for w in terms]
     d = d.select("key", F.coalesce(F.size("toks"), F.lit(0)).alias("dl"), *(F.coalesce(c, F.lit(0)).alias(f"tf{i}") for i, c in enumerate(tf)))
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"), *(F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))))
     score: Column = F.lit(0.0)
@@ -67,6 +67,17 @@ def bm25_from_postings(index: DataFrame, stats: DataFrame, terms: Sequence[str],
     return s.groupBy("key").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
 
 
+def emptied(delta: DataFrame, live: DataFrame) -> DataFrame:
+    """The keys of a delta that have no live row left."""
+    ks = live.select(F.col("key").alias("__k0")).distinct()
+    return delta.select("key").distinct().join(ks, F.col("key").eqNullSafe(F.col("__k0")), "left_anti")
+
+
+def replacing(live: DataFrame, gone: DataFrame) -> Patch:
+    """The patch that puts ``live`` in place of all rows of its keys and of those in ``gone``."""
+    return Patch(live.withColumn(GONE, F.lit(False)).unionByName(gone.withColumn(GONE, F.lit(True)), allowMissingColumns=True), ["key"])
+
+
 class Bm25(Node):
     """Full-text view of (key, text): scores always follow the live documents, also after an upsert."""
 
@@ -79,10 +90,13 @@ class Bm25(Node):
         return live.select("key", "text", self.tokenizer(F.col("text")).alias("toks"))
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
-        old = state.get("docs")
-        docs = multiset(delta.select("key", "text", W), old, ["key", "text"]).select("key", "text", "__n", self.tokenizer(F.col("text")).alias("toks")).persist()
+        old, z = state.get("docs"), delta.select("key", "text", W)
+        if old is not None:
+            z = z.unionByName(touched(old, delta, ["key"]).select("key", "text", F.col("__n").alias(W)))
+        docs = consolidate(z, ["key", "text"], clamp=True).select("key", "text", F.col(W).alias("__n"), self.tokenizer(F.col("text")).alias("toks")).persist()
         index = postings(docs).repartition("term").sortWithinPartitions("term", "key")
-        return Step({"docs": docs, "postings": index})
+        gone = emptied(delta, docs)
+        return Step({"docs": replacing(docs, gone), "postings": replacing(index, gone)})
 
     class Reader:
         def __init__(self, state: State, node: Bm25) -> None:
@@ -171,12 +185,13 @@ class VectorIndex(Node):
         return self._live(z)
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
-        old = state.get("vectors")
+        old, cols = state.get("vectors"), ["key", "embedding"]
+        seq = F.col(SEQ) if SEQ in delta.columns else F.lit(0)
+        z = delta.select(*cols, W, seq.cast("bigint").alias(SEQ))
         if old is not None:
-            cols = data_columns(delta)
-            seq = F.col(SEQ) if SEQ in delta.columns else F.lit(0)
-            delta = old.select(*cols, F.lit(1).cast("bigint").alias(W), F.lit(-1).cast("bigint").alias(SEQ)).unionByName(delta.select(*cols, W, seq.cast("bigint").alias(SEQ)))
-        return Step({"vectors": self._live(delta)})
+            z = z.unionByName(touched(old, delta, ["key"]).select(*cols, F.lit(1).cast("bigint").alias(W), F.lit(-1).cast("bigint").alias(SEQ)))
+        live = self._live(z).persist()
+        return Step({"vectors": replacing(live, emptied(delta, live))})
 
     class Reader:
         def __init__(self, state: State, metric: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.stateful import N, ascending, descending, first_copies, multiset, shown
-from tarnflow.plans.node import SEQ, Context, Node, State, Step, checked, data_columns
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, checked, data_columns
 from tarnflow.zset import W, consolidate
 
 
@@ -159,14 +159,9 @@ class Table(Node):
         return self._rows(last_writes(z, self.keys), z)
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
-        old = state.get("rows")
-        if old is None:
-            return Step({"rows": self.batch(delta)})
-        # kept rows count as the earliest writes of the commit
-        cols = data_columns(delta)
-        seq = F.col(SEQ) if SEQ in delta.columns else F.lit(0)
-        z = old.select(*cols, F.lit(1).cast("bigint").alias(W), F.lit(-1).cast("bigint").alias(SEQ)).unionByName(delta.select(*cols, W, seq.cast("bigint").alias(SEQ)))
-        return Step({"rows": self.batch(z)})
+        rest = [c for c in data_columns(delta) if c not in self.keys]
+        m = last_writes(delta, self.keys)  # a blind write: what was there before doesn't matter
+        return Step({"rows": Patch(m.select(*self.keys, *(F.col(f"__v.{c}").alias(c) for c in rest), (F.col("__last") <= 0).alias(GONE)), self.keys)})
 
     class Reader:
         def __init__(self, state: State, keys: list[str]) -> None:
@@ -325,8 +320,7 @@ class Histogram(Node):
         return consolidate(z.select(self.bucket.alias("bucket"), W), ["bucket"], clamp=True).withColumnRenamed(W, "n")
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
-        old = state.get("buckets")
-        return Step({"buckets": shown(multiset(delta.select(self.bucket.alias("bucket"), W), None if old is None else old.withColumnRenamed("n", N), ["bucket"]))})
+        return Step({"buckets": multiset(delta.select(self.bucket.alias("bucket"), W), state.get("buckets"), ["bucket"])})
 
     @staticmethod
     def quantiles(df: DataFrame, qs: Sequence[float]) -> DataFrame:
@@ -341,7 +335,7 @@ class Histogram(Node):
 
     class Reader:
         def __init__(self, state: State) -> None:
-            self.df = state.get("buckets")
+            self.df = shown(state["buckets"]) if "buckets" in state else None
 
         def total(self) -> int:
             return 0 if self.df is None else int(self.df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])

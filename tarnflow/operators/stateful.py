@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tarnflow.plans.node import SEQ, Context, Node, State, Step, checked, data_columns
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, checked, data_columns, touched
 from tarnflow.zset import W, consolidate
 
 
@@ -17,18 +18,25 @@ N = "__n"
 
 
 def merged(delta: DataFrame, state: DataFrame | None, cols: Sequence[str]) -> DataFrame:
-    """(cols, __n0, __n1): the clamped count of each datum before and after a delta; one shuffle, nulls equal nulls."""
+    """(cols, __n0, __n1): the clamped counts before and after a delta of each datum in it; nulls equal nulls.
+
+    Of the state only the touched rows are read into the shuffle.
+    """
     zero = F.lit(0).cast("bigint")
     d = delta.select(*cols, zero.alias("__n0"), F.col(W).alias("__d"))
     if state is not None:
-        d = d.unionByName(state.select(*cols, F.col(N).alias("__n0"), zero.alias("__d")))
+        d = d.unionByName(touched(state, delta, cols).select(*cols, F.col(N).alias("__n0"), zero.alias("__d")))
     m = d.groupBy(*cols).agg(F.sum("__n0").alias("__n0"), F.sum("__d").alias("__d"))
     return m.select(*cols, "__n0", F.greatest(F.col("__n0") + F.col("__d"), zero).alias("__n1"))
 
 
-def multiset(delta: DataFrame, state: DataFrame | None, cols: Sequence[str]) -> DataFrame:
-    """The kept multiset (cols, __n) after a delta."""
-    return merged(delta, state, cols).filter("__n1 > 0").select(*cols, F.col("__n1").alias(N))
+def patched(m: DataFrame, cols: Sequence[str]) -> Patch:
+    """The change of a kept multiset (cols, __n) from ``merged``."""
+    return Patch(m.filter("__n0 <> __n1").select(*cols, F.col("__n1").alias(N), (F.col("__n1") == 0).alias(GONE)), list(cols))
+
+
+def multiset(delta: DataFrame, state: DataFrame | None, cols: Sequence[str]) -> Patch:
+    return patched(merged(delta, state, cols), cols)
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -60,7 +68,7 @@ class Distinct(Node):
         cols = data_columns(delta)
         m = merged(delta, state.get("counts"), cols).persist()
         out = m.filter((F.col("__n0") > 0) != (F.col("__n1") > 0)).select(*cols, F.when(F.col("__n1") > 0, 1).otherwise(-1).cast("bigint").alias(W))
-        return Step({"counts": m.filter("__n1 > 0").select(*cols, F.col("__n1").alias(N))}, _sequenced(out))
+        return Step({"counts": patched(m, cols)}, _sequenced(out))
 
 
 class Aggregate(Node):
@@ -88,7 +96,7 @@ class Aggregate(Node):
         old = state.get("groups")
         if old is None:
             old = d.limit(0).select("key", *(F.col(f"d_{c}").alias(c) for c in names))
-        o = old.select("key", F.struct(*names).alias("o"))
+        o = touched(old, d, ["key"]).select("key", F.struct(*names).alias("o"))
         x = d.select("key", F.struct(*(F.col(f"d_{c}").alias(c) for c in names)).alias("d"))
         blank = lambda s: x.select("key", F.lit(None).cast(o.schema["o"].dataType).alias("o"), F.col("d")) if s else o.select("key", "o", F.lit(None).cast(x.schema["d"].dataType).alias("d"))
         m = blank(True).unionByName(blank(False)).groupBy("key").agg(F.first("o", ignorenulls=True).alias("o"), F.first("d", ignorenulls=True).alias("d"))
@@ -97,10 +105,10 @@ class Aggregate(Node):
         alive0, alive1 = F.coalesce(F.col("o.n") > 0, F.lit(False)), F.col("a.n") > 0
         moved = m.filter(~(alive0 & alive1 & (F.col("o") == F.col("a"))))
         row = lambda s, w: moved.filter(alive0 if s == "o" else alive1).select("key", f"{s}.*", F.lit(w).cast("bigint").alias(W))
-        return Step({"groups": m.filter(alive1).select("key", "a.*")}, _sequenced(row("o", -1).unionByName(row("a", 1))))
+        return Step({"groups": Patch(m.select("key", "a.*", (~alive1).alias(GONE)), ["key"])}, _sequenced(row("o", -1).unionByName(row("a", 1))))
 
 
-class Fold(Node):
+class KeyedReduce(Node):
     """A user-defined aggregate per ``key``: ``step(acc, row, w) -> acc`` over rows in ``__seq`` order.
 
     ``acc`` is a dict with the columns of ``schema`` (DDL), None at first; ``row`` a dict. The function has to undo an
@@ -109,12 +117,12 @@ class Fold(Node):
 
     def __init__(self, name: str, step: Callable[[dict | None, dict, int], dict], schema: str) -> None:
         super().__init__()
-        self.name, self.fold, self.schema = name, step, schema
+        self.name, self.apply_row, self.schema = name, step, schema
 
     def _run(self, z: DataFrame, old: DataFrame | None) -> DataFrame:
         key = z.schema["key"].dataType.simpleString()
-        fields = [f.strip().split()[0] for f in self.schema.split(",")]
-        fold = self.fold
+        fields = StructType.fromDDL(self.schema).names
+        apply_row = self.apply_row
         if SEQ not in z.columns:
             z = z.withColumn(SEQ, F.lit(0).cast("bigint"))
 
@@ -122,9 +130,10 @@ class Fold(Node):
             n = int(o["n"].iloc[0]) if len(o) else 0
             acc = {c: o[c].iloc[0] for c in fields} if len(o) else None
             rows = [(*k, n, *(acc[c] for c in fields), "o")] if n > 0 else []
-            for r in d.sort_values(SEQ, kind="stable").to_dict("records"):
-                w = int(r.pop(W))
-                acc = fold(acc, r, w)
+            d = d.sort_values(SEQ, kind="stable")
+            names = [c for c in d.columns if c != W]
+            for w, *r in zip(d[W].tolist(), *(d[c].tolist() for c in names), strict=True):
+                acc = apply_row(acc, dict(zip(names, r, strict=True)), w)
                 n += w
             if n > 0:
                 rows.append((*k, n, *(acc[c] for c in fields), "a"))
@@ -138,9 +147,12 @@ class Fold(Node):
         return self._run(z, None).filter("__side = 'a'").drop("__side").withColumn(W, F.lit(1).cast("bigint"))
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
-        r = self._run(delta, state.get("groups")).persist()
+        old = state.get("groups")
+        r = self._run(delta, None if old is None else touched(old, delta, ["key"])).persist()
+        after = r.filter("__side = 'a'").drop("__side").withColumn(GONE, F.lit(False))
+        left = r.filter("__side = 'o'").drop("__side").join(after.select(F.col("key").alias("__k0")), F.col("key").eqNullSafe(F.col("__k0")), "left_anti").withColumn(GONE, F.lit(True))
         out = r.withColumn(W, F.when(F.col("__side") == "o", -1).otherwise(1).cast("bigint")).drop("__side")
-        return Step({"groups": r.filter("__side = 'a'").drop("__side")}, _sequenced(consolidate(out)))
+        return Step({"groups": Patch(after.unionByName(left), ["key"])}, _sequenced(consolidate(out, [c for c in out.columns if c != W])))
 
 
 def first_copies(z: DataFrame, k: int, order: Sequence[Column], n: str = W, by: Sequence[str] = ()) -> DataFrame:
@@ -183,9 +195,11 @@ class TopK(Node):
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         cols = data_columns(delta)
         old = state.get("all")
-        new = multiset(delta, old, cols).persist()
+        patch = multiset(delta, old, cols)
+        patch.rows = patch.rows.persist()
+        new = patch.applied(old)
         top = lambda s: None if s is None else first_copies(s.withColumnRenamed(N, W), self.k, descending(cols))
-        return Step({"all": new}, changes(top(old), top(new), cols))
+        return Step({"all": patch}, changes(top(old), top(new), cols))
 
 
 class Retain(Node):

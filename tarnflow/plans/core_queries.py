@@ -11,7 +11,7 @@ from tarnflow.functions.embedding import embed, normalized, stand_in
 from tarnflow.functions.text import tokenize
 from tarnflow.operators.search import Bm25, VectorIndex, bm25, fuse, knn, knn_join
 from tarnflow.operators.sinks import Bag, Count, Histogram, InvertedIndex, KeyedRanked, Multimap, Ranked, Stats, Table
-from tarnflow.operators.stateful import Aggregate, Distinct, Fold, Retain, TopK
+from tarnflow.operators.stateful import Aggregate, Distinct, KeyedReduce, Retain, TopK
 from tarnflow.operators.stateless import Filter, FilterMap, FlatMap, KeyBy, Map, ScoreBy, Unkey, Unscore
 from tarnflow.plans.node import SEQ, Node, views
 from tarnflow.session import table
@@ -402,18 +402,21 @@ def normalize_text(spark, d):
 
 
 @query(f"WITH {Z} SELECT user_id AS key, sum(w)::BIGINT AS n, max(value) FILTER (w > 0 AND event_id % 5 <> 0) AS best FROM z GROUP BY 1 HAVING sum(w) > 0")
-def fold_best_live(spark, d):
+def reduce_best_live(spark, d):
     """A non-linear aggregate: the greatest live value of a user, with retractions replayed."""
 
     def step(acc, row, w):
-        kept = dict(zip(acc["v"], acc["c"], strict=True)) if acc else {}
-        kept[row["value"]] = kept.get(row["value"], 0) + w
-        kept = {v: c for v, c in kept.items() if c}
-        return {"v": list(kept), "c": list(kept.values())}
+        kept = acc["kept"] if acc else {}
+        n = kept.get(row["value"], 0) + w
+        if n:
+            kept[row["value"]] = n
+        else:
+            kept.pop(row["value"])
+        return {"kept": kept}
 
     z = events(spark, d).select(F.col("user_id").alias("key"), "value", W, SEQ)
-    f = view(Fold("f", step, "v array<double>, c array<bigint>"), z, "f")
-    return f.select("key", "n", F.array_max("v").alias("best"))
+    f = view(KeyedReduce("f", step, "kept map<double, bigint>"), z, "f")
+    return f.select("key", "n", F.array_max(F.map_keys("kept")).alias("best"))
 
 
 @query(f"WITH {Z} SELECT event_id, value, sum(w)::BIGINT AS n FROM z GROUP BY 1, 2 HAVING sum(w) > 0")

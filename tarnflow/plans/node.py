@@ -11,10 +11,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnflow.session import BROADCAST_ROWS
 from tarnflow.zset import W
 
 SEQ = "__seq"
+GONE = "__gone"
 State = dict[str, DataFrame]
 
 _changing = re.compile(r"\b(rand|randn|random|uuid|shuffle|current_timestamp|now|current_date|localtimestamp|monotonically_increasing_id|input_file_name|spark_partition_id)\s*\(", re.I)
@@ -40,11 +43,51 @@ class Context:
     now_ms: int = 0
 
 
+def same(keys: Sequence[str], mark: str = "__k") -> Column:
+    """Equality of ``keys`` and their copies named ``mark`` + number; nulls are equal."""
+    out = F.lit(True)
+    for i, c in enumerate(keys):
+        out = out & F.col(c).eqNullSafe(F.col(f"{mark}{i}"))
+    return out
+
+
+def _keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys under other names, marked for broadcast if they were counted to be few."""
+    ks = df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys))).distinct().persist()
+    return F.broadcast(ks) if ks.count() <= BROADCAST_ROWS else ks
+
+
+def touched(state: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a state whose keys occur in a delta. A small delta is broadcast, so that the state isn't shuffled."""
+    return state.join(_keys_of(delta, keys), same(keys), "left_semi")
+
+
+@dataclass
+class Patch:
+    """What a commit changes in a state table: all rows of its keys are replaced by ``rows``.
+
+    ``rows`` has the table's columns and ``__gone``; a key whose only row is gone has none left. Only patches are
+    written by a commit, so its cost follows the delta and not the state.
+    """
+
+    rows: DataFrame
+    keys: list[str]
+
+    def live(self) -> DataFrame:
+        return self.rows.filter(~F.col(GONE)).drop(GONE)
+
+    def applied(self, state: DataFrame | None) -> DataFrame:
+        """The table after the patch."""
+        if state is None:
+            return self.live()
+        return state.join(_keys_of(self.rows, self.keys), same(self.keys), "left_anti").unionByName(self.live())
+
+
 @dataclass
 class Step:
-    """State after a commit, and the delta that goes on to the children (with ``__w`` and ``__seq``)."""
+    """Changes of state by a commit (a whole new table or a ``Patch``), and the delta for the children."""
 
-    state: State = field(default_factory=dict)
+    state: dict[str, DataFrame | Patch] = field(default_factory=dict)
     out: DataFrame | None = None
 
 

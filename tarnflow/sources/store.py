@@ -6,7 +6,13 @@ import json
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tarnflow.plans.node import Patch
+
+#: Patches of a table after which it is written whole again.
+PATCHES = 8
 
 
 class StoreError(RuntimeError):
@@ -16,7 +22,7 @@ class StoreError(RuntimeError):
 class Store:
     """Parquet tables under ``path`` on any Hadoop file system.
 
-    Each commit writes new tables under ``data/`` and then renames its manifest into ``manifest/<version>.json``. A
+    Each commit writes new tables or patches of tables under ``data/`` and then renames its manifest into ``manifest/<version>.json``. A
     reader pins a version; what no manifest names was never committed.
     """
 
@@ -46,7 +52,34 @@ class Store:
 
     def read(self, manifest: dict) -> dict[str, dict[str, DataFrame]]:
         """node -> table -> DataFrame."""
-        return {node: {t: self.spark.read.parquet(p) for t, p in tables.items()} for node, tables in manifest["tables"].items()}
+        return {node: {t: self.table(parts) for t, parts in tables.items()} for node, tables in manifest["tables"].items()}
+
+    def table(self, parts: list[dict]) -> DataFrame:
+        """A table from its whole part, if it has one, and the later patches; of each key the last patch counts."""
+        whole = self.spark.read.parquet(parts[0]["path"]) if not parts[0]["keys"] else None
+        patches = parts if whole is None else parts[1:]
+        if not patches:
+            return whole
+        keys = patches[0]["keys"]
+        rows = None
+        for n, p in enumerate(patches):
+            part = self.spark.read.parquet(p["path"]).withColumn("__part", F.lit(n))
+            rows = part if rows is None else rows.unionByName(part)
+        if len(patches) > 1:
+            rows = rows.withColumn("__last", F.max("__part").over(Window.partitionBy(*keys))).filter("__part = __last").drop("__last")
+        return Patch(rows.drop("__part"), keys).applied(whole)
+
+    def add(self, tables: dict, node: str, table: str, change: DataFrame | Patch) -> list[str]:
+        """Stages a change and notes it in ``tables``; a table with many patches is written whole. Gives the new paths."""
+        parts = tables.setdefault(node, {}).get(table, [])
+        if isinstance(change, Patch) and len(parts) < PATCHES:
+            p = self.stage(node, table, change.rows)
+            tables[node][table] = [*parts, {"path": p, "keys": change.keys}]
+        else:
+            df = change if isinstance(change, DataFrame) else change.applied(self.table(parts))
+            p = self.stage(node, table, df)
+            tables[node][table] = [{"path": p, "keys": []}]
+        return [p]
 
     def stage(self, node: str, table: str, df: DataFrame) -> str:
         """Writes a table where no manifest points yet; gives its path."""
@@ -75,8 +108,8 @@ class Store:
     def vacuum(self, keep: int = 2) -> int:
         """Deletes manifests but the last ``keep`` and the tables only they name; gives the number of tables deleted."""
         versions = self.versions()
-        kept = {p for v in versions[-keep:] for ts in self.manifest(v)["tables"].values() for p in ts.values()}
-        old = {p for v in versions[:-keep] for ts in self.manifest(v)["tables"].values() for p in ts.values()} - kept
+        kept = {p for v in versions[-keep:] for ts in self.manifest(v)["tables"].values() for t in ts.values() for p in (x["path"] for x in t)}
+        old = {p for v in versions[:-keep] for ts in self.manifest(v)["tables"].values() for t in ts.values() for p in (x["path"] for x in t)} - kept
         for v in versions[:-keep]:
             self._fs.delete(self._Path(f"{self.path}/manifest/{v}.json"), False)
         self.discard(sorted(old))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.plans.node import SEQ, Context, Node, State
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, touched
 from tarnflow.sources.store import Store, StoreError
 from tarnflow.zset import W
 
@@ -58,8 +58,8 @@ class Tx:
 
     def rtx(self) -> Snapshot:
         """The views as they would be if the transaction committed now."""
-        states, _ = self._stream._steps(self.delta(), self._stream._pinned, self._stream._context)
-        return Snapshot(self._stream.nodes, states)
+        s = self._stream
+        return Snapshot(s.nodes, s._after(s._pinned, s._steps(self.delta(), s._pinned, s._context)))
 
 
 class Stream:
@@ -83,22 +83,29 @@ class Stream:
     def frame(self, rows: DataFrame | Sequence[tuple]) -> DataFrame:
         return rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows), self.schema)
 
-    def _steps(self, delta: DataFrame, states: Mapping[str, State], ctx: Context) -> tuple[dict[str, State], set[str]]:
-        """States after the commit, and the names of the nodes that keep any."""
-        new = dict(states)
-        touched: set[str] = set()
+    def _steps(self, delta: DataFrame, states: Mapping[str, State], ctx: Context) -> dict[str, dict[str, DataFrame | Patch]]:
+        """What the commit of a delta changes in each node's state."""
+        new: dict[str, dict[str, DataFrame | Patch]] = {}
 
         def go(node: Node, z: DataFrame) -> None:
             step = node.step(z, states.get(node.name, {}) if node.name else {}, ctx)
             if step.state:
                 new[node.name] = step.state
-                touched.add(node.name)
             for c in node.children:
                 go(c, step.out)
 
         for r in self.roots:
             go(r, delta)
-        return new, touched
+        return new
+
+    @staticmethod
+    def _after(states: Mapping[str, State], changed: Mapping[str, Mapping[str, DataFrame | Patch]]) -> dict[str, State]:
+        out = {n: dict(s) for n, s in states.items()}
+        for name, tables in changed.items():
+            for t, c in tables.items():
+                old = out.setdefault(name, {}).get(t)
+                out[name][t] = c.applied(old) if isinstance(c, Patch) else c
+        return out
 
     @contextmanager
     def wtx(self, now_ms: int | None = None, batch_id: int | str | None = None) -> Iterator[Tx]:
@@ -118,7 +125,7 @@ class Stream:
     def _begin(self) -> Tx:
         return Tx(self)
 
-    def _extra(self, tx: Tx) -> dict[str, State]:
+    def _extra(self, tx: Tx) -> dict[str, dict[str, DataFrame | Patch]]:
         return {}
 
     def _commit(self, tx: Tx, m: dict, batch_id: int | str | None) -> None:
@@ -126,13 +133,9 @@ class Stream:
         tables = {k: dict(v) for k, v in m["tables"].items()}
         delta = tx.delta().persist()
         try:
-            states, touched = self._steps(delta, self._pinned, self._context)
-            extra = self._extra(tx)
-            for name in [*touched, *extra]:
-                for t, df in (extra.get(name) or states[name]).items():
-                    p = self.store.stage(name, t, df)
-                    staged.append(p)
-                    tables.setdefault(name, {})[t] = p
+            for name, changed in (self._steps(delta, self._pinned, self._context) | self._extra(tx)).items():
+                for t, c in changed.items():
+                    staged += self.store.add(tables, name, t, c)
             batches = [*m["batches"], batch_id][-1000:] if batch_id is not None else m["batches"]
             self.store.publish({"version": m["version"] + 1, "tables": tables, "batches": batches, "shape": self.shape})
         except BaseException:
@@ -170,25 +173,25 @@ class KeyedTx(Tx):
         cols = [f.name for f in self._stream.schema.fields]
         df = self._stream.frame(rows)
         order = F.col(SEQ) if SEQ in df.columns else F.lit(0)
-        self._ops.append(df.select(*cols, F.lit(1).alias("__op"), (order + len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
+        self._ops.append(df.select(*cols, F.lit(1).alias("op"), (order + len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
 
     def remove(self, keys: DataFrame | Sequence[tuple]) -> None:
         s = self._stream
         fields = {f.name: f for f in s.schema.fields}
         df = keys if isinstance(keys, DataFrame) else s.spark.createDataFrame(list(keys), T.StructType([fields[k] for k in s.keys]))
         rest = [F.lit(None).cast(f.dataType).alias(c) for c, f in fields.items() if c not in s.keys]
-        self._ops.append(df.select(*s.keys, *rest).select(*fields, F.lit(-1).alias("__op"), F.lit(len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
+        self._ops.append(df.select(*s.keys, *rest).select(*fields, F.lit(-1).alias("op"), F.lit(len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
 
     def _joined(self) -> DataFrame:
-        """(keys, __o, __v, __op): the committed row and the last operation of each key."""
+        """(keys, __o, __v, __op): the committed row and the last operation of each key that was written."""
         s = self._stream
         cols = [f.name for f in s.schema.fields]
-        old = s._pinned.get(ROOT, {}).get("rows")
         frame = s.frame([]).select(*cols, F.lit(0).alias("__op"), F.lit(-1).cast("bigint").alias(SEQ))
-        if old is not None:
-            frame = old.select(*cols, F.lit(0).alias("__op"), F.lit(-1).cast("bigint").alias(SEQ))
         for o in self._ops:
-            frame = frame.unionByName(o)
+            frame = frame.unionByName(o.withColumnRenamed("op", "__op"))
+        old = s._pinned.get(ROOT, {}).get("rows")
+        if old is not None:
+            frame = frame.unionByName(touched(old, frame, s.keys).select(*cols, F.lit(0).alias("__op"), F.lit(-1).cast("bigint").alias(SEQ)))
         v = F.struct(*(c for c in cols if c not in s.keys)) if len(cols) > len(s.keys) else F.struct(F.lit(0).alias("_"))
         w = F.max_by(F.struct(v.alias("__v"), F.col("__op")), F.struct(SEQ, "__op"))
         o = F.first(F.when(F.col("__op") == 0, v), ignorenulls=True)
@@ -198,15 +201,19 @@ class KeyedTx(Tx):
         s = self._stream
         rest = [f.name for f in s.schema.fields if f.name not in s.keys]
         cols = [f.name for f in s.schema.fields]
-        j = self._joined().filter("__op <> 0")
+        j = self._joined()
         changed = j.filter((F.col("__op") == -1) | ~F.col("__o").eqNullSafe(F.col("__v")))
         row = lambda side, w: changed.filter(F.col("__o").isNotNull() if side == "o" else F.col("__op") == 1).select(*s.keys, *(F.col(f"__{side}.{c}").alias(c) for c in rest), F.lit(w).cast("bigint").alias(W), F.lit(max(w, 0)).cast("bigint").alias(SEQ)).select(*cols, W, SEQ)
         return row("o", -1).unionByName(row("v", 1))
 
-    def rows(self) -> DataFrame:
+    def patch(self) -> Patch:
         s = self._stream
         rest = [f.name for f in s.schema.fields if f.name not in s.keys]
-        return self._joined().filter("__op >= 0").select(*s.keys, *(F.col(f"__v.{c}").alias(c) for c in rest)).select(*(f.name for f in s.schema.fields))
+        j = self._joined().select(*s.keys, *(F.col(f"__v.{c}").alias(c) for c in rest), (F.col("__op") == -1).alias(GONE))
+        return Patch(j.select(*(f.name for f in s.schema.fields), GONE), s.keys)
+
+    def rows(self) -> DataFrame:
+        return self.patch().applied(self._stream._pinned.get(ROOT, {}).get("rows"))
 
     def get(self, *key):
         """The row of a key, this transaction's writes included."""
@@ -227,7 +234,7 @@ class KeyedStream(Stream):
         return KeyedTx(self)
 
     def _extra(self, tx: KeyedTx) -> dict[str, State]:
-        return {ROOT: {"rows": tx.rows()}}
+        return {ROOT: {"rows": tx.patch()}}
 
     def _find(self, df: DataFrame, key: tuple):
         for c, v in zip(self.keys, key, strict=True):

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 def spark():
     from tarnflow.session import build_session
 
-    return build_session("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g"})
+    return build_session("tests", 4, **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "3g"})
 
 
 @pytest.fixture
