@@ -37,7 +37,7 @@ _broken = re.compile("[-\u2010\u2011][ \t]*(?:\r\n|\r|\n)[ \t>|*]*(?=[^\\W\\d_])
 _alike = str.maketrans("аеорсхуіјѕԁһӏкмтвнАВЕКМНОРСТХУІЈЅαορντικεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijsdhlkmtbhABEKMHOPCTXYIJSaopvtikeABEZHIKMNOPTYX")
 
 
-def fold(text: str) -> str:
+def plain(text: str) -> str:
     """``text`` without markup, hyphenation, accents, case and variants of characters."""
     if "&" in text:
         text = html.unescape(text)
@@ -55,7 +55,7 @@ def fold(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """The words of a text, whatever its case, punctuation, layout, markup and form of characters."""
-    return _word.findall(fold(text)) if text else []
+    return _word.findall(plain(text)) if text else []
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
