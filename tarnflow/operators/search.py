@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.metrics import BLOCK_METRICS, METRICS
 from tarnflow.functions.text import Tokenizer, count_in, tokenize
-from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, touched
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, hold, touched
 from tarnflow.zset import W, consolidate
 
 K1, B = 1.2, 0.75
@@ -93,7 +93,8 @@ class Bm25(Node):
         old, z = state.get("docs"), delta.select("key", "text", W)
         if old is not None:
             z = z.unionByName(touched(old, delta, ["key"]).select("key", "text", F.col("__n").alias(W)))
-        docs = consolidate(z, ["key", "text"], clamp=True).select("key", "text", F.col(W).alias("__n"), self.tokenizer(F.col("text")).alias("toks")).persist()
+        docs = consolidate(z, ["key", "text"], clamp=True).select("key", "text", F.col(W).alias("__n"), self.tokenizer(F.col("text")).alias("toks"))
+        docs = hold(docs)
         index = postings(docs).repartition("term").sortWithinPartitions("term", "key")
         gone = emptied(delta, docs)
         return Step({"docs": replacing(docs, gone), "postings": replacing(index, gone)})
@@ -190,7 +191,7 @@ class VectorIndex(Node):
         z = delta.select(*cols, W, seq.cast("bigint").alias(SEQ))
         if old is not None:
             z = z.unionByName(touched(old, delta, ["key"]).select(*cols, F.lit(1).cast("bigint").alias(W), F.lit(-1).cast("bigint").alias(SEQ)))
-        live = self._live(z).persist()
+        live = hold(self._live(z))
         return Step({"vectors": replacing(live, emptied(delta, live))})
 
     class Reader:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, checked, data_columns, touched
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, checked, data_columns, hold, touched
 from tarnflow.zset import W, consolidate
 
 
@@ -66,7 +66,7 @@ class Distinct(Node):
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         cols = data_columns(delta)
-        m = merged(delta, state.get("counts"), cols).persist()
+        m = hold(merged(delta, state.get("counts"), cols))
         out = m.filter((F.col("__n0") > 0) != (F.col("__n1") > 0)).select(*cols, F.when(F.col("__n1") > 0, 1).otherwise(-1).cast("bigint").alias(W))
         return Step({"counts": patched(m, cols)}, _sequenced(out))
 
@@ -101,7 +101,7 @@ class Aggregate(Node):
         blank = lambda s: x.select("key", F.lit(None).cast(o.schema["o"].dataType).alias("o"), F.col("d")) if s else o.select("key", "o", F.lit(None).cast(x.schema["d"].dataType).alias("d"))
         m = blank(True).unionByName(blank(False)).groupBy("key").agg(F.first("o", ignorenulls=True).alias("o"), F.first("d", ignorenulls=True).alias("d"))
         add = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"d.{c}"), F.lit(0))
-        m = m.select("key", "o", F.struct(*(add(c).cast(old.schema[c].dataType).alias(c) for c in names)).alias("a")).persist()
+        m = hold(m.select("key", "o", F.struct(*(add(c).cast(old.schema[c].dataType).alias(c) for c in names)).alias("a")))
         alive0, alive1 = F.coalesce(F.col("o.n") > 0, F.lit(False)), F.col("a.n") > 0
         moved = m.filter(~(alive0 & alive1 & (F.col("o") == F.col("a"))))
         row = lambda s, w: moved.filter(alive0 if s == "o" else alive1).select("key", f"{s}.*", F.lit(w).cast("bigint").alias(W))
@@ -148,7 +148,7 @@ class KeyedReduce(Node):
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         old = state.get("groups")
-        r = self._run(delta, None if old is None else touched(old, delta, ["key"])).persist()
+        r = hold(self._run(delta, None if old is None else touched(old, delta, ["key"])))
         after = r.filter("__side = 'a'").drop("__side").withColumn(GONE, F.lit(False))
         left = r.filter("__side = 'o'").drop("__side").join(after.select(F.col("key").alias("__k0")), F.col("key").eqNullSafe(F.col("__k0")), "left_anti").withColumn(GONE, F.lit(True))
         out = r.withColumn(W, F.when(F.col("__side") == "o", -1).otherwise(1).cast("bigint")).drop("__side")
@@ -196,7 +196,7 @@ class TopK(Node):
         cols = data_columns(delta)
         old = state.get("all")
         patch = multiset(delta, old, cols)
-        patch.rows = patch.rows.persist()
+        patch.rows = hold(patch.rows)
         new = patch.applied(old)
         top = lambda s: None if s is None else first_copies(s.withColumnRenamed(N, W), self.k, descending(cols))
         return Step({"all": patch}, changes(top(old), top(new), cols))
@@ -237,7 +237,7 @@ class Retain(Node):
         both = alive.withColumn("__need", F.lit(0).cast("bigint")).unionByName(need.select(*cols, F.lit(-(2**62)).alias("__ms"), F.lit(0).cast("bigint").alias("__tx"), F.lit(0).cast("bigint").alias(N), "__need"))
         w = Window.partitionBy(*cols).orderBy("__ms", "__tx")
         both = both.withColumn("__all", F.sum("__need").over(Window.partitionBy(*cols))).withColumn("__before", F.coalesce(F.sum(N).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        both = both.withColumn("__gone", F.least(F.col(N), F.greatest(F.col("__all") - F.col("__before"), F.lit(0)))).persist()
+        both = hold(both.withColumn("__gone", F.least(F.col(N), F.greatest(F.col("__all") - F.col("__before"), F.lit(0)))))
         cancelled = both.filter("__gone > 0").select(*cols, (-F.col("__gone")).alias(W))
         kept = both.filter("__n - __gone > 0").select(*cols, "__ms", "__tx", (F.col(N) - F.col("__gone")).alias(N))
         out = aged.unionByName(cancelled).unionByName(net.filter(F.col(W) > 0))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,30 @@ class Context:
     now_ms: int = 0
 
 
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` persisted until the transaction ends."""
+    held = _held.get()
+    if held is not None:
+        held.append(df)
+    return df.persist()
+
+
+@contextmanager
+def holding() -> Iterator[None]:
+    """Within the block ``hold`` persists; afterwards what it held is released, and nothing else."""
+    held: list[DataFrame] = []
+    token = _held.set(held)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        for df in held:
+            df.unpersist()
+
+
 def same(keys: Sequence[str], mark: str = "__k") -> Column:
     """Equality of ``keys`` and their copies named ``mark`` + number; nulls are equal."""
     out = F.lit(True)
@@ -52,8 +78,11 @@ def same(keys: Sequence[str], mark: str = "__k") -> Column:
 
 
 def _keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct keys under other names, marked for broadcast if they were counted to be few."""
-    ks = df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys))).distinct().persist()
+    """The distinct keys under other names; in a transaction marked for broadcast if they were counted to be few."""
+    ks = df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys))).distinct()
+    if _held.get() is None:  # a reader: the files' sizes decide how Catalyst joins
+        return ks
+    ks = hold(ks)
     return F.broadcast(ks) if ks.count() <= BROADCAST_ROWS else ks
 
 

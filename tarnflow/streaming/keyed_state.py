@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tarnflow.zset import W
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The weight's name on the way through Python, where leading underscores are lost.
+PLAIN = "weight__"
 
 
 def changelog(source: DataFrame, key: str, step: Callable[[tuple | None, dict, int], tuple], schema: str, names: tuple[str, ...]) -> DataFrame:
@@ -29,7 +31,7 @@ def changelog(source: DataFrame, key: str, step: Callable[[tuple | None, dict, i
             n, acc = (int(old[0]), tuple(old[1:])) if old else (0, None)
             for pdf in rows:
                 for r in pdf.to_dict("records"):
-                    w = int(r.pop(W))
+                    w = int(r.pop(PLAIN))
                     acc = step(acc, r, w)
                     n += w
             out = [(*key, *old[1:], -1)] if old else []
@@ -40,11 +42,12 @@ def changelog(source: DataFrame, key: str, step: Callable[[tuple | None, dict, i
                 self.state.clear()
             if len(out) == 2 and out[0][:-1] == out[1][:-1]:
                 out = []
-            yield pd.DataFrame(out, columns=[key_name, *names, W])
+            yield pd.DataFrame(out, columns=[key_name, *names, PLAIN])
 
         def close(self) -> None:
             pass
 
     key_name = key
     kind = dict(source.dtypes)[key]
-    return source.groupBy(key).transformWithStateInPandas(Keep(), f"{key} {kind}, {schema}, {W} bigint", "Update", "None")
+    rows = source.withColumnRenamed(W, PLAIN)
+    return rows.groupBy(key).transformWithStateInPandas(Keep(), f"{key} {kind}, {schema}, {PLAIN} bigint", "Update", "None").withColumnRenamed(PLAIN, W)

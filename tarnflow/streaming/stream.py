@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, touched
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, hold, holding, touched
 from tarnflow.sources.store import Store, StoreError
 from tarnflow.zset import W
 
@@ -117,10 +117,10 @@ class Stream:
         self._pinned = self.store.read(m)
         self._context = Context(self.spark, m["version"] + 1, int(time.time() * 1000) if now_ms is None else now_ms)
         tx = self._begin()
-        yield tx
-        if batch_id is not None and batch_id in m["batches"]:
-            return
-        self._commit(tx, m, batch_id)
+        with holding():
+            yield tx
+            if batch_id is None or batch_id not in m["batches"]:
+                self._commit(tx, m, batch_id)
 
     def _begin(self) -> Tx:
         return Tx(self)
@@ -131,7 +131,7 @@ class Stream:
     def _commit(self, tx: Tx, m: dict, batch_id: int | str | None) -> None:
         staged: list[str] = []
         tables = {k: dict(v) for k, v in m["tables"].items()}
-        delta = tx.delta().persist()
+        delta = hold(tx.delta())
         try:
             for name, changed in (self._steps(delta, self._pinned, self._context) | self._extra(tx)).items():
                 for t, c in changed.items():
@@ -141,9 +141,6 @@ class Stream:
         except BaseException:
             self.store.discard(staged)
             raise
-        finally:
-            delta.unpersist()
-            self.spark.catalog.clearCache()
 
     def rtx(self, version: int | None = None) -> Snapshot:
         """All views as of one committed version."""
@@ -215,6 +212,13 @@ class KeyedTx(Tx):
     def rows(self) -> DataFrame:
         return self.patch().applied(self._stream._pinned.get(ROOT, {}).get("rows"))
 
+    def current(self, keys: DataFrame | Sequence[tuple]) -> DataFrame:
+        """The rows that upserts of these keys would replace, this transaction's writes included."""
+        s = self._stream
+        fields = {f.name: f for f in s.schema.fields}
+        df = keys if isinstance(keys, DataFrame) else s.spark.createDataFrame(list(keys), T.StructType([fields[k] for k in s.keys]))
+        return touched(self.rows(), df, s.keys)
+
     def get(self, *key):
         """The row of a key, this transaction's writes included."""
         return self._stream._find(self.rows(), key)
