@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_queries(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest base vectors of every query vector."""
-    return similar(table(spark, d, "base_vectors"), table(spark, d, "query_vectors")).withColumnsRenamed({"id": "query_id", "near_id": "vec_id"})
+    return similar(table(spark, d, "base_vectors"), table(spark, d, "query_vectors")).select(F.col("id").alias("query_id"), "rank", F.col("near_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -96,4 +96,23 @@ QUERIES = {
     "p8_found": p8_found, "p8_quality": p8_quality,
 }
 
-ORACLE: dict[str, str] = {}
+_USABLE = """vectors AS (
+  SELECT vec_id AS id, min(val)::DOUBLE[] AS v FROM base_vectors
+  WHERE vec_id IS NOT NULL AND len(val) = 64 AND len(list_filter(val, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(val, lambda x: x <> 0)) > 0
+  GROUP BY 1)"""
+_L2 = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"""WITH {_USABLE},
+near AS (SELECT a.id AS x, b.id AS y FROM vectors a JOIN vectors b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_L2}, b.id) <= 10)
+SELECT DISTINCT least(x, y) AS vec_a, greatest(x, y) AS vec_b FROM near""",
+    "p4_queries": f"""WITH {_USABLE},
+q AS (SELECT query_id AS id, min(val)::DOUBLE[] AS v FROM query_vectors WHERE len(val) = 64 AND len(list_filter(val, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(val, lambda x: x <> 0)) > 0 GROUP BY 1)
+SELECT a.id AS query_id, row_number() OVER w::INT AS rank, b.id AS vec_id, round({_L2}, 6) AS distance FROM q a, vectors b
+WINDOW w AS (PARTITION BY a.id ORDER BY {_L2}, b.id) QUALIFY rank <= 10""",
+    # a source's shortage is the same in characters as in tokens of any tokenizer
+    "p7_found": """WITH t AS (SELECT lower(trim(source)) AS source, max(weight) AS weight, max(max_repeats) AS repeats FROM mix_targets WHERE weight > 0 AND NOT isnan(weight) AND source IS NOT NULL GROUP BY 1),
+d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents GROUP BY 1)
+SELECT t.source FROM t LEFT JOIN d USING (source)
+WHERE coalesce(d.size, 0) * t.repeats < t.weight / (SELECT sum(weight) FROM t) * (SELECT sum(size) FROM d)""",
+}
