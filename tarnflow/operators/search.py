@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions.metrics import BLOCK_METRICS, METRICS
 from tarnflow.functions.text import Tokenizer, count_in, tokenize
 from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, hold, touched
+from tarnflow.session import cut
 from tarnflow.zset import W, consolidate
 
 K1, B = 1.2, 0.75
@@ -28,7 +29,7 @@ def bm25(docs: DataFrame, query: str, limit: int | None = None, key: str = "key"
     """(key, score) of the documents with at least one term of the query, best first; ties go to the lesser key.
 
     ``docs`` has one row per live document with ``text`` or ready ``toks``. Terms are counted inside each document's
-    token array: one global aggregate of document counts and lengths, and no shuffle of tokens. Documents without
+    token array, in one pass over the texts whose counts are kept in a checkpoint; no token is shuffled. Documents without
     tokens count as documents.
     """
     terms = query_terms(docs, query, tokenizer)
@@ -38,6 +39,7 @@ def bm25(docs: DataFrame, query: str, limit: int | None = None, key: str = "key"
     d = docs.select(F.col(key).alias("key"), once.alias("toks"))
     tf = [count_in(F.col("toks"), w) for w in terms]
     d = d.select("key", F.coalesce(F.size("toks"), F.lit(0)).alias("dl"), *(F.coalesce(c, F.lit(0)).alias(f"tf{i}") for i, c in enumerate(tf)))
+    d = cut(d)  # narrow rows: the texts are read and tokenised once
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"), *(F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))))
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
