@@ -66,7 +66,7 @@ class _Tail:
             self.sections[h] = 2 * s
 
     def merge(self, other: _Tail) -> None:
-        self.seed ^= other.seed * 2 + 1
+        self.seed = (self.seed ^ (other.seed * 2 + 1)) % 2**64
         for h, v in enumerate(other.levels):
             self._grow(h)
             self.counts[h] |= other.counts[h]

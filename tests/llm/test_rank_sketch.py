@@ -42,6 +42,15 @@ def test_small_sets_are_exact_and_roundtrip():
     assert small.merge(big).n == 5010 and small.quantiles([1]) == [4999]
 
 
+def test_many_merges_keep_the_seed_in_its_bytes():
+    s = RankSketch().add(np.arange(1000.0))
+    for i in range(200):
+        s.merge(RankSketch().add(np.arange(400.0) + i))
+        s = RankSketch.from_bytes(s.to_bytes())
+        assert 0 <= s.high.seed < 2**64 and 0 <= s.low.seed < 2**64
+    assert s.n == 81_000
+
+
 def test_tables(spark):
     r = random.Random(2)
     data = [(r.choice(["a", "b", None]), r.randrange(3), r.choice([None, r.randrange(1000)]), float("nan") if r.random() < 0.1 else r.gauss(0, 1)) for _ in range(6000)] + [("z", 0, None, None)]
