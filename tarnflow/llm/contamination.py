@@ -197,12 +197,12 @@ def _areas(ps: list[int], length: int) -> list[tuple[int, int]]:
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
-    """(key, item, words, start, end) for each document with at least 20 words of an item in one stretch and in order.
+    """(key, item, words, start, end, text_hash) for each document with at least 20 words of an item in one stretch and in order.
 
     Case, punctuation, layout, hyphenation, markup and forms of characters don't matter; up to GAP other words in a
     row inside a stretch don't end it as long as KEPT of its words are the item's. What more than 20 items (and a
     twentieth of all) share is an instruction and doesn't count. ``start`` and ``end`` are character offsets of the
-    longest stretch in the text as stored.
+    longest stretch in the text as stored, and ``text_hash`` tells which text where a key has several.
 
     The items' n-gram hashes are broadcast in blocks of at most ``block`` items, and the documents, read whole, are
     scanned once per block; nothing is shuffled. Null and blank texts and null ids of items have no cases. Repeated
@@ -212,7 +212,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rows = items.filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
     blocks = max(1, -(-rows.count() // block))
     kinds = {**dict(documents.dtypes), "item": dict(items.dtypes)[item]}
-    schema = f"`{key}` {kinds[key]}, `{item}` {kinds['item']}, words int, start int, end int"
+    schema = f"`{key}` {kinds[key]}, `{item}` {kinds['item']}, words int, start int, end int, text_hash bigint"
     out = None
     for n in range(blocks):
         mine = rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n) if blocks > 1 else rows
@@ -233,10 +233,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                             ends = (spans[x][0], spans[y - 1][1]) if x < y else (0, len(t))
                             for c, v in zip(found, (row, i, n, *ends), strict=True):
                                 c.append(v)
-                yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(found[0], pa.int64())), pa.array(found[1]).cast(index_type), *(pa.array(c, pa.int32()) for c in found[2:])], names=[key, item, "words", "start", "end"])
+                yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(found[0], pa.int64())), pa.array(found[1]).cast(index_type), *(pa.array(c, pa.int32()) for c in found[2:]), b["h"].take(pa.array(found[0], pa.int64()))], names=[key, item, "words", "start", "end", "text_hash"])
 
         index_type = pa.int64() if kinds["item"] == "bigint" else pa.int32() if kinds["item"] == "int" else pa.string()
-        part = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(scan, schema)
+        part = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).filter("t is not null").mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -245,7 +245,8 @@ def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id", t
     """``documents`` without the leaked spans, or with ``whole`` without the documents that have any."""
     if whole:
         return documents.join(found.select(key).distinct(), key, "left_anti")
-    spans = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    columns = documents.columns
+    spans = found.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +262,8 @@ def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id", t
             names = [n for n in b.schema.names if n != "__spans"]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else b[n] for n in names], names=names)
 
-    return documents.join(spans, key, "left").mapInArrow(remove, documents.select(key, *[c for c in documents.columns if c != key]).schema)
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
+    return documents.join(spans, same, "left").select(*columns, "__spans").mapInArrow(remove, documents.schema)
 
 
 def leak_counts(found: DataFrame, item: str = "item_id") -> DataFrame:
