@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -128,7 +129,7 @@ class Index:
         return at, h
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, matching words, first word, end word) of each item with a stretch of at least WORDS words in ``text``."""
+        """(item, matching words, first word, end word) of every stretch of at least WORDS words of an item in ``text``."""
         if not text:
             return []
         ws = words(text)
@@ -143,31 +144,52 @@ class Index:
         for p, j in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
             for item in self.holders[j]:
                 near[item].append(p)
-        out = []
-        for item, ps in near.items():
-            best = (0, 0, 0)
-            for a, b in _areas(ps, len(self.words[item])):
-                best = max(best, self._stretch(ws, item, max(0, a - WORDS), min(len(ws), b + self.gram + WORDS)))
-            if best[0]:
-                out.append((self.ids[item], *best))
-        return out
+        return [(self.ids[item], *x) for item, ps in near.items() for x in self._stretches(ws, item, ps)]
+
+    def _stretches(self, ws: list[str], item: int, ps: list[int]) -> list[tuple[int, int, int]]:
+        """Every stretch of the item in ``ws`` with hits at ``ps``: (matching words, first word, end word).
 
-    def _stretch(self, ws: list[str], item: int, a: int, b: int) -> tuple[int, int, int]:
-        """The longest stretch of the item in ``ws[a:b]``: (matching words, first word, end word), zeros if short."""
+        An alignment is in the item's order, so it sees each part of the item once. What lies before, between and
+        behind the stretches found is searched again with the whole item, until nothing is left in it.
+        """
         own = self.words[item]
-        best, run = (0, 0, 0), []
+        most = len(own) + 2 * WORDS
+        out, rest = [], [(0, len(ws))]
+        while rest:
+            lo, hi = rest.pop()
+            for x, y in _areas(ps[bisect_left(ps, lo) : bisect_right(ps, hi - self.gram)], len(own)):
+                a, b = max(lo, x - WORDS), min(hi, y + self.gram + WORDS)
+                if b - a > 16 * most:
+                    # overlapping windows, so that many copies in a row cost what their length costs
+                    rest += [(k, min(b, k + 16 * most)) for k in range(a, b - 4 * most, 12 * most)]
+                    continue
+                found = self._runs(ws, item, a, b)
+                good = [w for w, _ in found if w[0]]
+                out += good
+                cuts = [(f, t) for _, f, t in good]
+                if not cuts and found:
+                    # a run too short to count may keep a stretch behind or before it from being aligned
+                    size, f, t = max((sum(m[2] for m in run), a + run[0][0], a + run[-1][0] + run[-1][2]) for _, run in found)
+                    cuts = [(f, t)] if size >= self.gram else []
+                if cuts:
+                    edges = [a, *(x for c in cuts for x in c), b]
+                    rest += [(f, t) for f, t in zip(edges[::2], edges[1::2], strict=True) if t - f >= WORDS - 2]
+        return _joined(out)
+
+    def _runs(self, ws: list[str], item: int, a: int, b: int) -> list[tuple[tuple[int, int, int], list[tuple[int, int, int]]]]:
+        """The runs of blocks of ``ws[a:b]`` aligned with the item, each with what it weighs (zeros if too short)."""
+        out, run = [], []
         # blocks that follow each other within GAP words on both sides form one stretch; instructions don't count
-        for m in [*SequenceMatcher(None, ws[a:b], own, autojunk=False).get_matching_blocks()]:
+        for m in SequenceMatcher(None, ws[a:b], self.words[item], autojunk=False).get_matching_blocks():
             if m.size and run and m.a - run[-1][0] - run[-1][2] <= GAP and m.b - run[-1][1] - run[-1][2] <= GAP:
                 run.append((m.a, m.b, m.size))
                 continue
-            best = max(best, self._weigh(run, item, a))
-            run = [(m.a, m.b, m.size)] if m.size else []
-        return max(best, self._weigh(run, item, a))
+            if run:
+                out.append((self._weigh(run, item, a), run))
+            run = [(m.a, m.b, m.size)]
+        return out
 
     def _weigh(self, run: list[tuple[int, int, int]], item: int, a: int) -> tuple[int, int, int]:
-        if not run:
-            return (0, 0, 0)
         seldom = self.seldom[item]
         lo, hi = run[0][1], run[-1][1] + run[-1][2]
         while lo < hi and not any(seldom[max(0, lo - self.gram + 1) : lo + 1]):
@@ -184,6 +206,8 @@ class Index:
 def _areas(ps: list[int], length: int) -> list[tuple[int, int]]:
     """Positions joined into areas where they are less than an item's length apart and somewhere dense enough."""
     out = []
+    if not ps:
+        return out
     first = last = ps[0]
     dense = 0
     for k, p in enumerate(ps):
@@ -196,17 +220,29 @@ def _areas(ps: list[int], length: int) -> list[tuple[int, int]]:
     return [*out, (first, last)] if dense else out
 
 
+def _joined(stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches in order of place; those that overlap (one seen from two windows) as one."""
+    out: list[tuple[int, int, int]] = []
+    for n, x, y in sorted(stretches, key=lambda s: s[1:]):
+        if out and x < out[-1][2]:
+            out[-1] = (max(n, out[-1][0]), out[-1][1], max(y, out[-1][2]))
+        else:
+            out.append((n, x, y))
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
-    """(key, item, words, start, end, text_hash) for each document with at least 20 words of an item in one stretch and in order.
+    """(key, item, words, start, end, text_hash) for each stretch of a document with at least 20 words of an item in order.
 
     Case, punctuation, layout, hyphenation, markup and forms of characters don't matter; up to GAP other words in a
     row inside a stretch don't end it as long as KEPT of its words are the item's. What more than 20 items (and a
-    twentieth of all) share is an instruction and doesn't count. ``start`` and ``end`` are character offsets of the
-    longest stretch in the text as stored, and ``text_hash`` tells which text where a key has several.
+    twentieth of all) share is an instruction and doesn't count. A document has a row for
+    every stretch: an item held twice, or in parts more than GAP words apart, gives several. ``start`` and ``end`` are
+    character offsets in the text as stored, and ``text_hash`` tells which text where a key has several.
 
     The items' n-gram hashes are broadcast in blocks of at most ``block`` items, and the documents, read whole, are
     scanned once per block; nothing is shuffled. Null and blank texts and null ids of items have no cases. Repeated
-    item rows count once; repeated documents give a row each.
+    item rows count once; repeated documents give their rows each.
     """
     spark = documents.sparkSession
     rows = items.filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
@@ -225,10 +261,11 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 for row, t in enumerate(b["t"].to_pylist()):
                     if hits := search(t):
                         spans = word_spans(t)
-                        best: dict[object, tuple[int, int, int]] = {}
-                        for i, n, x, y in hits:
-                            best[i] = max(best.get(i, (0, 0, 0)), (n, x, y))
-                        for i, (n, x, y) in best.items():
+                        # an id may have several texts; what they find in one place is one stretch
+                        each: dict[object, list[tuple[int, int, int]]] = defaultdict(list)
+                        for i, *stretch in hits:
+                            each[i].append(tuple(stretch))
+                        for i, n, x, y in ((i, *stretch) for i, found_in in each.items() for stretch in _joined(found_in)):
                             y = min(y, len(spans))
                             ends = (spans[x][0], spans[y - 1][1]) if x < y else (0, len(t))
                             for c, v in zip(found, (row, i, n, *ends), strict=True):
@@ -266,8 +303,8 @@ def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id", t
     return documents.join(spans, same, "left").select(*columns, "__spans").mapInArrow(remove, documents.schema)
 
 
-def leak_counts(found: DataFrame, item: str = "item_id") -> DataFrame:
-    """How many documents each leaked item was found in."""
-    return found.groupBy(item).agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
+def leak_counts(found: DataFrame, item: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """How many documents each leaked item was found in, however often a document holds it."""
+    return found.groupBy(item).agg(F.count_distinct(F.struct(key, "text_hash")).alias("documents"), F.max("words").alias("longest"))
 
 

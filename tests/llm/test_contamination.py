@@ -66,3 +66,27 @@ def test_blocks_of_items_and_removal(spark, rows):
 def test_spans_agree_with_words():
     for t in (*variants(ITEMS[2]).values(), "ﬁne ½ İstanbul ß x&amp;y a<b> c", "­x​y", ""):
         assert len(c.word_spans(t)) == len(c.words(t))
+
+
+def test_every_stretch_of_an_item_is_found_and_removed(spark):
+    w, other = ITEMS[13], lambda n: text(n, OTHER)
+    changed = [x if k % 8 else "changed" for k, x in enumerate(w, 1)]
+    docs = {
+        1: DOC(w, other(90), w),  # twice, far apart
+        2: DOC(w, other(3), w, other(5), w),  # within an item's length
+        3: DOC(w[20:], other(4), w[:20]),  # parts in the other order
+        4: DOC(w[:20], other(12), w[20:]),  # parts more than GAP apart
+        5: DOC(w[26:], other(4), changed),  # a part too short to count before a changed copy
+        6: DOC(*[p for _ in range(150) for p in (w, other(4))]),
+        7: DOC(w[:11], other(4), w[20:31]),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, " ".join(x)) for i, x in ITEMS.items()], "item_id bigint, text string")
+    hits = c.leaks(d, e)
+    got = hits.collect()
+    assert {k: sum(r.doc_id == k for r in got) for k in docs} == {1: 2, 2: 3, 3: 2, 4: 2, 5: 1, 6: 150, 7: 0}
+    assert {r.item_id for r in got} == {13}
+    assert c.leak_counts(hits).first().documents == 6
+    clean = c.without_leaks(d, hits)
+    assert c.leaks(clean, e).count() == 0
+    assert all(not set(c.words(r.text)) & set(w) for r in clean.collect() if r.doc_id not in (5, 7))
