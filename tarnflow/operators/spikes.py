@@ -62,17 +62,15 @@ def _stuck(v: np.ndarray, f: Field) -> np.ndarray:
     return long
 
 
-def _reach(v: np.ndarray, known: float | None) -> float:
-    """The 99.5 % point of what a source reports; on short series without the few values above a wide gap."""
-    if known is not None:
-        return known
-    top = np.sort(v)[::-1]
-    k = min(len(top) - 1, max(4, len(top) // 50))
-    ratio = top[:k] / np.maximum(top[1 : k + 1], 1.0)
-    wide = np.flatnonzero((ratio >= 2.2) & (top[:k] > 0))
-    if len(wide) and top[wide[-1] + 1] > 0:
-        top = top[wide[-1] + 1 :]
-    return float(top[int(0.005 * (len(top) - 1))])
+def _reach(v: np.ndarray, n: np.ndarray) -> float:
+    """The 99.5 % point of the different values ``v``, each counted ``n`` times, without the few above a wide gap."""
+    order = np.argsort(v)[::-1]
+    top, end = v[order], np.cumsum(n[order])
+    k = min(end[-1] - 1, max(4, end[-1] // 50))
+    wide = np.flatnonzero((end[:-1] <= k) & (top[:-1] >= 2.2 * np.maximum(top[1:], 1.0)))
+    if len(wide) and top[cut := wide[-1] + 1] > 0:
+        top, end = top[cut:], end[cut:] - end[cut - 1]
+    return float(top[np.searchsorted(end, int(0.005 * (end[-1] - 1)), "right")])
 
 
 def _spikes(t: np.ndarray, v: np.ndarray, f: Field, known: float | None) -> np.ndarray:
@@ -80,7 +78,7 @@ def _spikes(t: np.ndarray, v: np.ndarray, f: Field, known: float | None) -> np.n
     if len(v) < STUCK:
         return out
     if f.scale == "size":
-        ceiling = max(f.floor, TIMES_REACH * _reach(v, known))
+        ceiling = max(f.floor, TIMES_REACH * (_reach(*np.unique(v, return_counts=True)) if known is None else known))
         high = v > ceiling
         if high.any():
             for i, e, _ in additive_outliers(np.log(v + ceiling / TIMES_REACH), high, cut=2.5, floor=0.05):
@@ -103,8 +101,8 @@ def _spikes(t: np.ndarray, v: np.ndarray, f: Field, known: float | None) -> np.n
     return out
 
 
-def judge(t: np.ndarray, v: np.ndarray, f: Field, known: float | None = None) -> np.ndarray:
-    """For each value in order of time: 0 plausible or missing (NaN), 1 impossible, 2 stuck, 3 spike."""
+def _unlikely(v: np.ndarray, f: Field) -> np.ndarray:
+    """For each value: 0 plausible so far or missing (NaN), 1 impossible, 2 stuck."""
     out = np.zeros(len(v), np.int8)
     here = ~np.isnan(v)
     bad = here & ((v < f.least) | (v > f.most))
@@ -112,7 +110,16 @@ def judge(t: np.ndarray, v: np.ndarray, f: Field, known: float | None = None) ->
     at = np.flatnonzero(here)
     stuck = at[_stuck(v[at], f)]
     out[stuck[out[stuck] == 0]] = 2
-    at = np.flatnonzero(here & (out == 0))
+    return out
+
+
+def judge(t: np.ndarray, v: np.ndarray, f: Field, known: float | None = None) -> np.ndarray:
+    """For each value in order of time: 0 plausible or missing (NaN), 1 impossible, 2 stuck, 3 spike.
+
+    ``known`` is what the source reaches if ``v`` is only a part of its series.
+    """
+    out = _unlikely(v, f)
+    at = np.flatnonzero(~np.isnan(v) & (out == 0))
     out[at[_spikes(t[at], v[at], f, known)]] = 3
     return out
 
@@ -165,20 +172,19 @@ def implausible(
     equal time), each with its neighbours' nearest readings as context, so that no source is held by one task. The
     table that assigns days to blocks is broadcast only if it is small and joined by shuffle otherwise.
 
+    What a source reaches in general is one figure per source and field, found by the same rule whatever its length:
+    the 99.5 % point of its live values that are neither impossible nor stuck, without the few (at most 2 %) above a
+    wide gap. Blocks count their values, and the counts are added up before they move: a source has one row per
+    different value and task.
+
     ``live`` are the readings to judge (default: ``df``), ``df`` the log whose counts size the blocks. Rows with null
     key or time leave; null and NaN values are no cases and interrupt nothing; equal times are ordered by value;
     an empty input gives an empty result; other columns are ignored.
     """
     live = df if live is None else live
     names = [f.name for f in fields]
-    ok = {f.name: F.when((F.col(f.name) >= f.least) & (F.col(f.name) <= f.most), F.col(f.name)) for f in fields}
-    sized = [f.name for f in fields if f.scale == "size"]
-    days = _source_days(df, key, at, block, halo)
-    if sized:
-        reach = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(*(F.percentile_approx(ok[c], 0.995, 2000).cast("double").alias(f"reach_{c}") for c in sized))
-        days = days.join(reach, "k", "left").select(*days.columns, *(F.when(F.col("total") > block // 2, F.col(f"reach_{c}")).alias(f"reach_{c}") for c in sized))
-    days = small(days)
-    reaches = [f"reach_{c}" for c in sized]
+    sized = [f for f in fields if f.scale == "size"]
+    days = small(_source_days(df, key, at, block, halo))
     r = live.select(F.col(key).alias("k"), F.col(at).alias("t"), *names).filter("k is not null and t is not null").withColumn("d", F.floor(F.col("t") / F.lit(DAY_MS)).cast("bigint"))
     r = r.join(days, ["k", "d"])
     f = (F.col("t") - F.col("d") * DAY_MS) / F.lit(float(DAY_MS)) * F.col("m")
@@ -190,16 +196,43 @@ def implausible(
     before = F.when(one | ((s == 0) & (part < 0.125)), F.when(F.col("p").isNotNull(), spot(F.col("p")["g"], last_of("p"), False))).when(part < 0.125, spot(F.col("g"), s - 1, False))
     after = F.when(one | ((s == F.col("m") - 1) & (part >= 0.875)), F.when(F.col("q").isNotNull(), spot(F.col("q")["g"], F.lit(0), False))).when(part >= 0.875, spot(F.col("g"), s + 1, False))
     spots = F.filter(F.array(spot(F.col("g"), s, True), before, after), lambda x: x.isNotNull())
-    placed = r.select("k", "t", *names, *reaches, F.inline(spots))
+    # read twice, for the counts and for the judgement, but shuffled once
+    placed = r.select("k", "t", *names, F.inline(spots)).repartition("k", "g", "s")
+    kind = dict(r.dtypes)["k"]
 
-    def scan(group: pa.Table) -> pa.Table:
+    def ordered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         tt = group["t"].to_numpy()
         cols = {n: group[n].cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names}
         order = np.lexsort([*(cols[n] for n in reversed(names)), tt])
-        tt, own = tt[order], group["own"].to_numpy(zero_copy_only=False)[order]
+        return tt[order], group["own"].to_numpy(zero_copy_only=False)[order], {n: c[order] for n, c in cols.items()}
+
+    def count(group: pa.Table) -> pa.Table:
+        _, own, cols = ordered(group)
+        parts = [(f.name, *np.unique(v[own & ~np.isnan(v) & (_unlikely(v, f) == 0)], return_counts=True)) for f in sized for v in [cols[f.name]]]
+        return pa.table(
+            {
+                "k": pa.array([group["k"][0].as_py()] * sum(len(v) for _, v, _ in parts), group.schema.field("k").type),
+                "field": pa.array([name for name, v, _ in parts for _ in range(len(v))], pa.string()),
+                "v": pa.array(np.concatenate([v for _, v, _ in parts]), pa.float64()),
+                "n": pa.array(np.concatenate([n for _, _, n in parts]), pa.int64()),
+            }
+        )
+
+    def reach(group: pa.Table) -> pa.Table:
+        return pa.table({"k": group["k"][:1], "field": group["field"][:1], "reach": pa.array([_reach(group["v"].to_numpy(), group["n"].to_numpy())], pa.float64())})
+
+    if sized:
+        counts = placed.groupBy("k", "g", "s").applyInArrow(count, f"k {kind}, field string, v double, n bigint").groupBy("k", "field", "v").agg(F.sum("n").alias("n"))
+        reached = counts.groupBy("k", "field").applyInArrow(reach, f"k {kind}, field string, reach double")
+        reached = reached.groupBy("k").agg(*(F.max(F.when(F.col("field") == f.name, F.col("reach"))).alias(f"reach_{f.name}") for f in sized))
+        blocks = days.groupBy("k", "g").agg(F.max("m").alias("m")).select("k", "g", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("s"))
+        placed = placed.join(blocks.join(reached, "k"), ["k", "g", "s"], "left")
+
+    def scan(group: pa.Table) -> pa.Table:
+        tt, own, cols = ordered(group)
         out: list[tuple[np.ndarray, str, np.ndarray, np.ndarray]] = []
         for f in fields:
-            v = cols[f.name][order]
+            v = cols[f.name]
             known = group[f"reach_{f.name}"][0].as_py() if f.scale == "size" else None
             kind = judge(tt, v, f, known)
             hit = np.flatnonzero((kind > 0) & own)
@@ -215,7 +248,6 @@ def implausible(
             }
         )
 
-    kind = dict(r.dtypes)["k"]
     found = placed.groupBy("k", "g", "s").applyInArrow(scan, f"k {kind}, t bigint, field string, kind string, value double")
     return found.select(F.col("k").alias(key), F.col("t").alias(at), "field", "kind", "value")
 

@@ -10,7 +10,7 @@ from tarnflow.functions.robust_ar import additive_outliers
 from tarnflow.operators.readings import DAY_MS, HOUR_MS, live_rows
 from tarnflow.operators.regular_grid import counter_grid
 from tarnflow.operators.rolling import inactive_days_with_total, rolling_totals
-from tarnflow.operators.spikes import WEATHER, implausible, judge
+from tarnflow.operators.spikes import WEATHER, _reach, implausible, judge
 
 SCHEMA = "sensor string, at_ms bigint, temp_c_tenths int, rain_mm_tenths int, wind_mph_tenths int, __w bigint"
 
@@ -152,3 +152,22 @@ def test_blocks_give_what_the_whole_series_gives(spark, rows):
     assert {x[1] // 60_000 for x in whole if x[0] == "s"} == {7, 511, 512, 700, 1499, 2959, *range(1018, 1040)}
     assert cut == whole
     assert rows(implausible(df.limit(0))) == []
+
+
+def test_reach_is_one_rule_for_short_and_long_sources(spark, rows):
+    r = np.random.default_rng(4)
+    wind = np.round(60 + 20 * np.sin(np.arange(3000) / 40) + r.normal(0, 6, 3000))
+    spikes = set(range(50, 3000, 75))
+    for i in spikes:
+        wind[i] = 1500 + i % 7 * 100
+    wind[1200:1260] = 800
+    data = [("s", i * 60_000, None, None, int(v), 1) for i, v in enumerate(wind)]
+    # repeated and withdrawn rows tell nothing about what the source reaches
+    data += [("s", 10 * 60_000, None, None, int(wind[10]), 1)] * 900 + [("s", i * 60_000 + 7, None, None, 2400, w) for i in range(60) for w in (1, -1)]
+    df = table(spark, data)
+    found = [rows(implausible(df, live_rows(df), block=b).select("at_ms", "field", "kind")) for b in (20_000, 256)]
+    assert found[0] == found[1]
+    assert {t // 60_000 for t, _, kind in found[1] if kind == "spike"} == spikes - set(range(1200, 1260))
+    assert len([1 for x in found[1] if x[2] == "stuck"]) >= 59
+    v = np.concatenate([r.integers(0, 90, 5000), [900, 950, 2000, 2000]]).astype(float)
+    assert _reach(*np.unique(v, return_counts=True)) == np.sort(v)[::-1][4:][int(0.005 * 4999)]
