@@ -35,10 +35,13 @@ _cell = re.compile(r"\t|\||;|\s{2,}|=|\": ")
 _gap = re.compile(r"(?<=\S)\s{2,}(?=\S)")
 _end = re.compile(r"[.!?…:;\"'”’)\]]\s*$")
 _symbol = re.compile(r"[^\w\s]")
+_stop_mark = re.compile(r"[.!?…][\"'”’)\]]*\s*$")
 
 PROSE, WEAK, JUNK = 2, 1, 0
 #: Characters above which a line is judged sentence by sentence, and words of the longest piece.
 LONG_LINE, LONG_PIECE = 160, 30
+#: Lines that a block needs to be judged by its layout, and the longest period searched in it.
+BLOCK, PERIOD = 12, 8
 
 
 def _judge(ws: list[str], letters: int, n: int) -> int:
@@ -109,6 +112,58 @@ def _lag1(x: np.ndarray) -> float:
     return float(d[1:] @ d[:-1]) / v if v > 0 else 0.0
 
 
+def _period(x: np.ndarray) -> bool:
+    """Whether values come back after a period of 2 to PERIOD lines, and not just because they change slowly."""
+    d = x - x.mean()
+    v = float(d @ d)
+    if v <= 0:
+        return False
+    n = len(x)
+    r = [float(d[p:] @ d[:-p]) / v * n / (n - p) for p in range(1, min(PERIOD, n // 4) + 1)]
+    return any(y >= 0.75 and y >= r[0] + 0.3 for y in r[1:])
+
+
+def _laid_out(lines: list[str]) -> bool:
+    """Whether a block of lines is rows of a table, menu or list by its layout: regular lengths, or periodic indents or lengths."""
+    body = [s.strip() for s in lines]
+    n = len(body)
+    text = "".join(body)
+    # rows seldom end like sentences, unless they are full of symbols
+    if sum(bool(_stop_mark.search(s)) for s in body) >= 0.2 * n and len(_symbol.findall(text)) < 0.15 * (len(text) - text.count(" ")):
+        return False
+    lengths = np.array([len(s) for s in body], float)
+    counts = np.array([len(s.split()) for s in body], float)
+    # wrapped sentences, and speakers with what they say below them, have such forms too, but longer lines
+    if np.quantile(counts, 0.75) > 8:
+        return False
+    # rows of like length have one number of words, which wrapped lines have not
+    if lengths.std() < 0.1 * lengths.mean() and counts.std() <= 0.6:
+        return True
+    return _period(np.array([len(a) - len(a.lstrip()) for a in lines], float)) or _period(lengths)
+
+
+def _by_layout(text: str) -> list[bool]:
+    """For each non-blank line, whether the block it stands in is laid out as rows; short blocks that follow each other count as one."""
+    blocks: list[list[str]] = [[]]
+    for s in text.splitlines():
+        if not s.strip() or len(s.strip()) > LONG_LINE:
+            blocks.append([])
+            if s.strip():
+                blocks += [[s], []]
+        else:
+            blocks[-1].append(s)
+    joined: list[list[str]] = []
+    small = False
+    for b in filter(None, blocks):
+        few = len(b) < BLOCK and len(b[0].strip()) <= LONG_LINE
+        if few and small:
+            joined[-1] += b
+        else:
+            joined.append(list(b))
+        small = few
+    return [x for b in joined for x in [len(b) >= BLOCK and _laid_out(b)] * len(b)]
+
+
 def describe(text: str | None) -> tuple | None:
     """The statistics of one text (see ``text_quality``), None for null or blank text."""
     if not text or not (body := text.replace("\ufeff", "")).strip():
@@ -118,6 +173,7 @@ def describe(text: str | None) -> tuple | None:
     aligned = _aligned(lines) if len(lines) >= 3 else [False] * len(lines)
     marked = [bool(_mark.match(s)) for s in lines]
     record = [bool(_record.match(s)) for s in lines]
+    rows = _by_layout(body) if len(lines) >= BLOCK else [False] * len(lines)
     units: list[list] = []
     words = letters = common = 0
     distinct: set[str] = set()
@@ -150,7 +206,7 @@ def describe(text: str | None) -> tuple | None:
             units.append([len(p), kind, i, p])
     seen = Counter(u[3] for u in units)
     for u in units:
-        if seen[u[3]] >= 3:
+        if seen[u[3]] >= 3 or rows[u[2]]:
             u[1] = JUNK
     # fragments of wrapped sentences take the kind of what they stand between; long runs of them are lists
     i, n = 0, len(units)
@@ -200,7 +256,9 @@ def text_quality(documents: DataFrame, key: str = "doc_id", text: str = "text")
     Layout: the share of lines whose delimiters align with those of their neighbours, the share with list marks, and
     the autocorrelation of successive indents and line lengths. ``prose_share`` is the share of characters in running
     sentences: lines, and sentences of long lines, are judged by their words (function words, verbs, letters,
-    repetition), by alignment and marks, and fragments of wrapped sentences by what they stand between.
+    repetition), by alignment and marks, and fragments of wrapped sentences by what they stand between. Blocks of at
+    least 12 short lines that seldom end like sentences (or are full of symbols) are rows, whatever their words, if their
+    lengths and numbers of words are regular, or if the autocorrelation of indents or lengths shows a period of 2 to 8 lines.
 
     Texts are read whole, one pass without a shuffle. Null and blank texts have null figures; repeated documents give
     a row each; an empty table gives an empty result; other columns are ignored.

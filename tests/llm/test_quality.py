@@ -1,8 +1,9 @@
 import random
+import textwrap
 
 import pytest
 
-from tarnflow.llm.quality import COLUMNS, describe, not_prose, text_quality
+from tarnflow.llm.quality import COLUMNS, _by_layout, describe, not_prose, text_quality
 
 R = random.Random(1)
 PROSE = "The old pump was repaired in March, and nobody has seen water in the yard since then. Two of the neighbours wrote to the office because they had expected a bill. It is quiet here again."
@@ -63,3 +64,23 @@ def test_table(spark, rows):
     assert q.count() == 7 and rows(not_prose(q)) == [(2,)]
     assert rows(q.filter("prose_share is null").select("doc_id")) == [(3,), (4,), (6,)]
     assert text_quality(df.limit(0)).count() == 0
+
+
+LAYOUT = {
+    "single-space columns": "\n".join(f"{R.choice(['the old', 'a new', 'the big'])} {R.choice(NOUNS)[:4]} is in {R.choice(NOUNS)[:4]} {R.choice(NOUNS)[:4]} {R.randrange(10, 99)}" for _ in range(24)),
+    "periodic indents": "\n".join(x for i in range(8) for x in (f"The {R.choice(NOUNS)} of the {R.choice(NOUNS)} {i}", f"    was in the {R.choice(NOUNS)} box {i}", f"    has a {R.choice(NOUNS)} to it {i}")),
+    "records apart": "\n\n".join(f"This is the {R.choice(NOUNS)} {i}\n  has a {R.choice(NOUNS)}\n  is at the gate of the old {R.choice(NOUNS)}" for i in range(9)),
+}
+SPOKEN = "\n".join(f"{n}\n    {s}" for n, s in zip("ann bob cy dan eve fay gus".split(), ["the old pump was repaired in the yard by two of us", "i think that nobody has seen the water since then", "we had expected a bill from the office and it never came to us", "it is so quiet here again that i could sleep", "you should have told them before they went home for the night", "they said it was not their pump at all", "then whose is it if it is in our yard"]))
+WRAPPED = textwrap.fill(" ".join(f"{PROSE} On day {i} the pump was still running and it had been seen by all of us." for i in range(9)).lower().replace(".", ""), 46)
+
+
+@pytest.mark.parametrize("name", LAYOUT)
+def test_rows_known_by_layout_alone(name):
+    assert describe(LAYOUT[name])[-1] < 0.4, describe(LAYOUT[name])
+
+
+def test_wrapped_and_spoken_sentences_are_no_rows():
+    assert not any(_by_layout(WRAPPED)) and not any(_by_layout(SPOKEN)) and describe(SPOKEN)[-1] > 0.6
+    rows = LAYOUT["single-space columns"]
+    assert _by_layout(f"{WRAPPED}\n\n{rows}") == [False] * len(WRAPPED.splitlines()) + [True] * 24
