@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.readings import live_rows
+from tarnflow.operators.readings import HOUR_MS, live_rows
 from tarnflow.operators.regular_grid import counter_grid
 from tarnflow.operators.rolling import inactive_days_with_total, rolling_totals
 from tarnflow.operators.spikes import implausible
@@ -46,13 +46,16 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_rain_counter(spark: SparkSession, d: str) -> DataFrame:
-    """The gridded day totals of a rain counter that starts again at 0 each UTC day, rebuilt from the readings."""
+    """The gridded rain of a counter that starts again at 0 each UTC day, as it stands at every live reading."""
     rain = F.greatest(F.coalesce(F.col("rain_mm_tenths").cast("bigint"), F.lit(0)), F.lit(0))
-    hours = _live(spark, d).groupBy("sensor", F.floor(F.col("at_ms") / F.lit(3_600_000)).cast("bigint").alias("h")).agg(F.max("at_ms").alias("at_ms"), F.sum(rain).alias("rain"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sensor", F.floor(F.col("h") / F.lit(24))).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    g = counter_grid(hours.withColumn("counter", F.sum("rain").over(w)), counter="counter", max_empty=240)
+    hour = F.floor(F.col("at_ms") / F.lit(HOUR_MS)).cast("bigint")
+    r = _live(spark, d).select("sensor", "at_ms", rain.alias("rain"), hour.alias("h")).repartition("sensor", "h")
+    # two levels: what fell in the day's hours before, and running totals inside the hour
+    day = Window.partitionBy("sensor", F.floor(F.col("h") / F.lit(24))).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = r.groupBy("sensor", "h").agg(F.sum("rain").alias("total")).select("sensor", "h", F.coalesce(F.sum("total").over(day), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("sensor", "h").orderBy("at_ms", "rain").rowsBetween(Window.unboundedPreceding, 0)
+    counter = r.withColumn("inside", F.sum("rain").over(inside)).join(hours, ["sensor", "h"], "left").select("sensor", "at_ms", (F.col("before") + F.col("inside")).alias("counter"))
+    g = counter_grid(counter, counter="counter", max_empty=240)
     return g.select("sensor", F.col("cell").alias("hour"), "state", "cells", "readings", F.round("increment", 4).alias("increment"), "resets")
 
 

@@ -11,6 +11,7 @@ from tarnflow.operators.readings import DAY_MS, HOUR_MS, live_rows
 from tarnflow.operators.regular_grid import counter_grid
 from tarnflow.operators.rolling import inactive_days_with_total, rolling_totals
 from tarnflow.operators.spikes import WEATHER, _reach, implausible, judge
+from tarnflow.plans.series_queries import p5_rain_counter
 
 SCHEMA = "sensor string, at_ms bigint, temp_c_tenths int, rain_mm_tenths int, wind_mph_tenths int, __w bigint"
 
@@ -171,3 +172,19 @@ def test_reach_is_one_rule_for_short_and_long_sources(spark, rows):
     assert len([1 for x in found[1] if x[2] == "stuck"]) >= 59
     v = np.concatenate([r.integers(0, 90, 5000), [900, 950, 2000, 2000]]).astype(float)
     assert _reach(*np.unique(v, return_counts=True)) == np.sort(v)[::-1][4:][int(0.005 * 4999)]
+
+
+def test_rain_counter_grids_every_reading(spark, tmp_path):
+    r = random.Random(8)
+    data = {t: r.choice([None, -4, 0, 0, 5, 40]) for t in (r.randrange(3 * DAY_MS) for _ in range(150))}
+    table(spark, [("a", t, 1, v, 2, 1) for t, v in data.items()] + [("a", 7, 1, 9, 2, -1)]).write.parquet(str(tmp_path / "readings.parquet"))
+    counter, day, total = [], None, 0
+    for t, v in sorted(data.items()):
+        total = max(v or 0, 0) + (total if t // DAY_MS == day else 0)
+        day = t // DAY_MS
+        counter.append((t, total))
+    want = brute_counter(counter, HOUR_MS, 240)
+    got = {x.hour: x for x in p5_rain_counter(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    assert {h: (x.readings, x.increment) for h, x in got.items()} == {h: (n, pytest.approx(v, abs=1e-3)) for h, (n, v) in want.items()}
+    assert sum(x.resets for x in got.values()) == sum(b[1] < a[1] for a, b in zip(counter, counter[1:]))
