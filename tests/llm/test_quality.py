@@ -84,3 +84,63 @@ def test_wrapped_and_spoken_sentences_are_no_rows():
     assert not any(_by_layout(WRAPPED)) and not any(_by_layout(SPOKEN)) and describe(SPOKEN)[-1] > 0.6
     rows = LAYOUT["single-space columns"]
     assert _by_layout(f"{WRAPPED}\n\n{rows}") == [False] * len(WRAPPED.splitlines()) + [True] * 24
+
+
+UNSEEN = {
+    "plain english": "Snow covers every rooftop along our street tonight. Children drag wooden sledges uphill. Grandmother brews strong coffee, hums softly and watches sparks dance above glowing embers. Nobody hurries anywhere.",
+    "russian": "Вчера вечером мы долго гуляли вдоль реки. Старый мост снова закрыли на ремонт, поэтому пришлось идти в обход. Домой вернулись поздно, зато увидели первый лёд.",
+    "chinese": "昨天晚上我们沿着河边散步了很久。旧桥又因为维修而关闭，所以只好绕路回家。虽然回来得很晚，但是看到了今年的第一场雪。孩子们高兴得又跳又叫。",
+    "polish": "Wczoraj wieczorem długo spacerowaliśmy wzdłuż rzeki. Stary most znowu zamknięto z powodu remontu, więc trzeba było iść naokoło. Do domu wróciliśmy późno, ale zobaczyliśmy pierwszy lód.",
+    "turkish": "Dün akşam nehir boyunca uzun süre yürüdük. Eski köprü onarım için yine kapatılmıştı, bu yüzden dolaşmak zorunda kaldık. Eve geç döndük ama ilk buzu gördük.",
+    "italian without marks": "ieri sera abbiamo camminato a lungo lungo il fiume e il vecchio ponte era di nuovo chiuso per lavori e quindi siamo passati di là e poi siamo tornati a casa tardi ma abbiamo visto il primo ghiaccio e i bambini erano così felici che non volevano più andare a letto e il nonno rideva con loro e la nonna ha portato il tè",
+    "dialogue": '"Where were you?" asked Maria.\n"Out," said Tom, and closed the door behind him.\n"Nobody goes out in weather like this."\n"I had to see whether the boat still lay at its mooring."',
+    "narrow": textwrap.fill("Two swans crossed the bay while fishermen folded their nets. Clouds gathered slowly over distant hills, and somewhere a dog barked at passing carts. Evening smelled of salt and tar.", 32),
+}
+
+
+@pytest.mark.parametrize("name", UNSEEN)
+def test_prose_of_other_languages_and_styles(name):
+    assert describe(UNSEEN[name])[-1] > 0.6, describe(UNSEEN[name])
+
+
+SMALL = "the of and to in is it was that for on with as at by from not are this had".split()
+PICK = lambda *words: R.choice(words)
+MADE = ["".join(R.choice("bdfglmnprst") + R.choice("aeiou") for _ in range(3)) for _ in range(300)]
+#: A constant, a value that takes its signal away, and a text that is not prose by this signal alone.
+SIGNALS = {
+    "layout of lengths": ("ROWS", 0.0, "\n".join(f"{PICK('this', 'that', 'each', 'some')} {R.choice(NOUNS)[:4]} {PICK('is', 'in', 'by')} {PICK('near', 'with', 'from', 'over')} {PICK('many', 'more', 'both', 'once')} {R.choice(MADE)[:4]} {R.choice(MADE)[:4]}" for _ in range(24))),
+    "layout of indents": ("PERIOD", 1, LAYOUT["periodic indents"]),
+    "function words as delimiters": ("ALIGNED", 0.0, NOT["numbers"]),
+    "delimiters in a line": ("LISTED", 0.0, "; ".join(f"the {R.choice(MADE)} {PICK('is', 'was')} near {R.choice(MADE)}" for _ in range(7))),
+    "marks": ("MARKED", 0.0, "\n".join(f"- {PICK('the', 'a', 'this')} {R.choice(MADE)} {PICK('of', 'for', 'with')} {PICK('the', 'every', 'some')} {R.choice(MADE)} {R.choice(MADE)}" for _ in range(11))),
+    "symbols among letters": ("LETTERS", 0.0, " ".join(f"{R.choice(SMALL)} #{R.randrange(10**7)}% {R.choice(MADE)}" for _ in range(14))),
+    "length of words": ("WORD_LENGTH", (0.0, 99.0), " ".join(f"{R.choice(SMALL)} {R.choice(SMALL)} {''.join(R.sample(MADE, 8))}" for _ in range(14))),
+    "different words": ("DISTINCT", 0.0, " ".join(["please", "wait", "while", "the", "page", "is", "made"] * 40)),
+    "function words": ("FUNCTION", 9.0, " ".join(R.sample(SMALL, 20))),
+}
+
+
+@pytest.mark.parametrize("name", SIGNALS)
+def test_every_signal_decides(name, monkeypatch):
+    from tarnflow.llm import quality
+
+    constant, without, text = SIGNALS[name]
+    assert describe(text)[-1] < 0.5, describe(text)
+    monkeypatch.setattr(quality, constant, without)
+    assert describe(text)[-1] >= 0.5, describe(text)
+
+
+def test_form_of_sentences_decides(monkeypatch):
+    from tarnflow.llm import quality
+
+    monkeypatch.setattr(quality, "_stops", lambda p: False)
+    assert describe(UNSEEN["russian"])[-1] < 0.5 and describe(SAME["sentences"])[-1] > 0.6
+
+
+def test_spikes_of_length_come_back_in_a_period(monkeypatch):
+    from tarnflow.llm import quality
+
+    rows = "\n".join(x for _ in range(8) for x in (f"{PICK('this', 'that')} {R.choice(MADE)}{R.choice(MADE)} is for {R.choice(MADE)}{R.choice(MADE)} {R.choice(MADE)}{R.choice(MADE)} in {R.choice(MADE)}", f"{PICK('it', 'he')} {PICK('is', 'was')} {PICK('so', 'not')} {PICK('at', 'in')} a {R.choice(MADE)[:3]}"))
+    assert describe(rows)[-1] < 0.5
+    monkeypatch.setattr(quality, "_period", lambda x: False)
+    assert describe(rows)[-1] >= 0.5
