@@ -21,8 +21,17 @@ def fit_ar(z: np.ndarray, order: int = 2, rounds: int = 4) -> tuple[np.ndarray,
     return b, 1.4826 * float(np.median(np.abs(y - x @ b)))
 
 
+def fit_steps(y: np.ndarray) -> tuple[float, float]:
+    """The robust autoregression of successive differences, free of level: (coefficient, residual scale).
+
+    As an autoregression of the values it has order 2 and the coefficients 1 + c and -c.
+    """
+    b, s = fit_ar(np.diff(y), 1)
+    return float(np.clip(b[0], -0.95, 0.95)), s
+
+
 def additive_outliers(
-    y: np.ndarray, may_start: np.ndarray | None = None, cut: float = 5.0, floor: float = 1.0, longest: int = 24, order: int = 2, rounds: int = 6
+    y: np.ndarray, may_start: np.ndarray | None = None, cut: float = 5.0, floor: float = 1.0, longest: int = 24, order: int = 2, rounds: int = 6, model: tuple[float, float] | None = None
 ) -> list[tuple[int, int, float]]:
     """Patches (start, end, largest jump) of additive outliers of ``y``.
 
@@ -30,6 +39,8 @@ def additive_outliers(
     patch is an additive outlier if the series comes back to the level before within ``longest`` values and leaves
     the patch as abruptly as it entered it; it is then interpolated. Else the jump is a level shift, lasting
     or fading, and the new level is kept. Fit and tests repeat on the cleaned series until nothing new is found.
+    With a ``model`` (see ``fit_steps``) nothing is fitted and only the tests repeat: parts of a series are then judged
+    as the whole is.
     """
     n, pad = len(y), 5
     if n < 4:
@@ -43,7 +54,10 @@ def additive_outliers(
     found: dict[int, tuple[int, float]] = {}
     shifts: set[int] = set()
     for _ in range(rounds):
-        b, s = fit_ar(z, order)
+        if model is None:
+            b, s = fit_ar(z, order)
+        else:
+            b, s = np.array([1 + model[0], -model[0]] + [0.0] * (order - 1)), model[1]
         s = max(s, floor)
         x = np.column_stack([z[order - 1 - i : len(z) - 1 - i] for i in range(order)])
         e = np.abs(z[order:] - x @ b[:order] - b[order])

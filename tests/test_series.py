@@ -188,3 +188,53 @@ def test_rain_counter_grids_every_reading(spark, tmp_path):
     assert set(got) == set(want)
     assert {h: (x.readings, x.increment) for h, x in got.items()} == {h: (n, pytest.approx(v, abs=1e-3)) for h, (n, v) in want.items()}
     assert sum(x.resets for x in got.values()) == sum(b[1] < a[1] for a, b in zip(counter, counter[1:]))
+
+
+def test_long_stuck_runs_are_found_at_any_block_size(spark, rows):
+    y = weather(30_000, 11)
+    y[4_000:24_000] = 131
+    y[25_000] += 300
+    steady = [("steady", i * 60_000, 55, 7, 0, 1) for i in range(3_000)]
+    df = table(spark, [("s", i * 60_000, int(v), None, None, 1) for i, v in enumerate(y)] + steady)
+    got = [rows(implausible(df, block=b)) for b in (100_000, 8192, 1000)]
+    assert got[0] == got[1] == got[2]
+    assert {(x[1] // 60_000, x[3]) for x in got[0]} == {(i, "stuck") for i in range(4_000, 24_000)} | {(25_000, "spike")}
+
+
+@pytest.mark.parametrize("n", [6, 12, 20, 50, 200])
+def test_short_clean_series_have_no_spikes(n):
+    wrong = 0
+    for seed in range(100):
+        r = np.random.default_rng(seed)
+        t = np.arange(n) * 600_000
+        y = np.round(150 + 60 * np.sin((t / DAY_MS + r.random()) * 2 * np.pi) + r.normal(0, 8, n))
+        wrong += judge(t, y, WEATHER[0]).any()
+    assert wrong == 0
+
+
+def test_a_gross_spike_in_few_readings_is_found():
+    y = np.array([150, 152, 149, 151, 150, 550, 153, 151, 150, 149, 152.0])
+    assert list(np.flatnonzero(judge(np.arange(11) * 600_000, y, WEATHER[0]))) == [5]
+    wind = np.array([40, 60, 0, 20, 55, 61, 2400, 30, 20, 10, 44.0])
+    assert list(np.flatnonzero(judge(np.arange(11) * 600_000, wind, WEATHER[2]))) == [6]
+
+
+def test_dense_days_and_blocks_agree(spark, rows):
+    y = weather(12_000, 3)
+    for i in (40, 3000, 5999, 6000, 9001):
+        y[i] += 250
+    y[7000:7030] = 90
+    df = table(spark, [("s", i * 5_000, int(v), None, 0, 1) for i, v in enumerate(y)])  # less than a day
+    got = [rows(implausible(df, block=b).select("at_ms", "kind")) for b in (50_000, 3000)]
+    assert got[0] == got[1] and {t // 5000 for t, _ in got[0]} == {40, 3000, 5999, 6000, 9001, *range(7000, 7030)}
+
+
+def test_fields_of_real_numbers_and_other_key_types(spark):
+    from tarnflow.operators.spikes import Field
+
+    v = [20 + (i * 7 % 11) / 7 for i in range(400)]
+    v[100], v[300] = 500.25, float("nan")
+    df = spark.createDataFrame([(1, i * 1000, x, "x") for i, x in enumerate(v)], "k int, t bigint, load double, field string")
+    f = Field("load", 0, 1000, "size", 50, 0.05, 100)
+    got = implausible(df, key="k", at="t", fields=[f]).collect()
+    assert [(r.k, r.t, r.kind, r.value) for r in got] == [(1, 100_000, "spike", 500.25)]
