@@ -6,16 +6,20 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.session import cut
+
 WORDS = 20
 GRAM = 4
 #: Longest run of other words inside a stretch, on either side.
@@ -24,20 +28,28 @@ GAP = 2
 KEPT = 0.84
 #: n-grams that a stretch has within twice WORDS at least: what KEPT leaves of WORDS with changes spread evenly.
 HITS = 5
-#: Items of one broadcast index; more items are searched in blocks.
-ITEMS = 20_000
+#: A stretch of n-grams that more than SHARED items have each is an instruction, unless it has at least LONG words.
+SHARED, LONG = 20, 60
+#: Items, and bytes of their texts, of a broadcast index; more are looked for by a bitmap of their n-grams first.
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
+#: Bits of the bitmap for each n-gram, and at most; n-grams of more items than it can hold take one more scan.
+BITS, MOST_BITS = 24, 1 << 31
 
 _marks = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 _foreign = re.compile("[\u0370-\u03ff\u0400-\u04ff\u0500-\u052f]")
 _word = re.compile(r"[^\W_]+")
 _gone = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _tag = re.compile(r"</?[A-Za-z_][^<>\n]{0,80}>")
-_entity = re.compile(r"&#?\w{1,10};")
+_entity = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 _broken = re.compile("[-\u2010\u2011][ \t]*(?:\r\n|\r|\n)[ \t>|*]*(?=[^\\W\\d_])")
 #: Cyrillic and Greek letters that look like Latin ones.
 _alike = str.maketrans("аеорсхуіјѕԁһӏкмтвнАВЕКМНОРСТХУІЈЅαορντικεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijsdhlkmtbhABEKMHOPCTXYIJSaopvtikeABEZHIKMNOPTYX")
 
 
+def _hyphenated(text: str) -> bool:
+    return "-\n" in text or "-\r" in text or "- \n" in text or "\u2010" in text or "\u2011" in text
+
+
 def plain(text: str) -> str:
     """``text`` without markup, hyphenation, accents, case and variants of characters."""
     if "&" in text:
@@ -49,7 +61,7 @@ def plain(text: str) -> str:
         if _foreign.search(text):
             text = text.translate(_alike)
         text = _marks.sub("", unicodedata.normalize("NFKD", text))
-    if "-\n" in text or "-\r" in text or "- \n" in text or "\u2010" in text or "\u2011" in text:
+    if _hyphenated(text):
         text = _broken.sub("", text)
     return text.casefold()
 
@@ -59,55 +71,111 @@ def words(text: str | None) -> list[str]:
     return _word.findall(plain(text)) if text else []
 
 
+class _Traced:
+    """A text under the changes that ``plain`` makes, each character with the place it comes from."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.first, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+
+    def _set(self, pieces: list[tuple[str, int, int]]) -> None:
+        self.text = "".join(p for p, _, _ in pieces)
+        self.first = [a for p, a, _ in pieces for _ in p]
+        self.end = [b for p, _, b in pieces for _ in p]
+
+    def sub(self, rx: re.Pattern, by) -> None:
+        pieces, last = [], 0
+        keep = lambda a, b: pieces.extend(zip(self.text[a:b], self.first[a:b], self.end[a:b], strict=True))
+        for m in rx.finditer(self.text):
+            keep(last, m.start())
+            if m.end() > m.start():
+                pieces.append((by(m[0]), self.first[m.start()], self.end[m.end() - 1]))
+            last = m.end()
+        keep(last, len(self.text))
+        self._set(pieces)
+
+    def each(self, by) -> None:
+        self._set([(by(c), a, b) for c, a, b in zip(self.text, self.first, self.end, strict=True)])
+
+
 def word_spans(text: str) -> list[tuple[int, int]]:
-    """Where the words of ``words(text)`` stand in ``text``."""
-    hidden = np.zeros(len(text) + 1, bool)
-    put: dict[int, str] = {}
-    for m in _entity.finditer(text):
-        if (c := html.unescape(m[0])) != m[0]:
-            hidden[m.start() : m.end()] = True
-            put[m.start()] = c
-    for m in _tag.finditer(text):
-        hidden[m.start() : m.end()] = True
-        put[m.start()] = " "
-    for rx in (_gone, _broken):
-        for m in rx.finditer(text):
-            hidden[m.start() : m.end()] = True
-            put.pop(m.start(), None)
-    out, at = [], []
-    for i, c in enumerate(text):
-        piece = put.get(i, "") if hidden[i] else c
-        if piece and not piece.isascii():
-            piece = _marks.sub("", unicodedata.normalize("NFKD", piece.translate(_alike)))
-        for x in piece.casefold():
-            out.append(x)
-            at.append(i)
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in _word.finditer("".join(out))]
+    """Where the words of ``words(text)`` stand in ``text``: the same changes in the same order."""
+    t = _Traced(text)
+    if "&" in t.text:
+        t.sub(_entity, html.unescape)
+    if "<" in t.text:
+        t.sub(_tag, lambda _: " ")
+    if not t.text.isascii():
+        t.sub(_gone, lambda _: "")
+        if _foreign.search(t.text):
+            t.each(lambda c: c.translate(_alike))
+        t.each(lambda c: _marks.sub("", unicodedata.normalize("NFKD", c)))
+    if _hyphenated(t.text):
+        t.sub(_broken, lambda _: "")
+    t.each(str.casefold)
+    return [(t.first[m.start()], t.end[m.end() - 1]) for m in _word.finditer(t.text)]
+
+
+def uncommon(common: list[bool], gram: int = GRAM) -> list[bool]:
+    """Which n-grams of an item count, given those that more than SHARED items have: the others, and long runs of them."""
+    out = [not c for c in common]
+    i = 0
+    while i < len(common):
+        j = i
+        while j < len(common) and common[j]:
+            j += 1
+        if j - i + gram - 1 >= LONG:
+            out[i:j] = [True] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
+@lru_cache(1 << 20)
+def _code(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) | 1
+
+
+def gram_hashes(ws: list[str], gram: int = GRAM) -> np.ndarray:
+    """A hash of each n-gram that is the same in every process."""
+    return _mixed(np.fromiter(map(_code, ws), np.uint64, len(ws)), np.arange(max(0, len(ws) - gram + 1)), gram)
+
+
+def _mixed(codes: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(gram):
+            h = (h ^ codes[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
 
 
 class Index:
-    """Hashes of the word n-grams of a block of items, with where they occur."""
+    """Hashes of the word n-grams of items, with where they occur.
 
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM) -> None:
+    ``counted`` tells for each item which of its n-grams count, as ``uncommon`` does; without it the items are all
+    there are, and it is found out.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], counted: list[list[bool]] | None = None, gram: int = GRAM) -> None:
         self.gram = gram
-        self.ids: list[int] = []
-        self.words: list[list[str]] = []
-        for i, text in items:
-            w = words(text)
-            if len(w) >= gram:
-                self.ids.append(i)
-                self.words.append(w)
+        texts = [(i, words(t)) for i, t in items]
+        kept = [n for n, (_, w) in enumerate(texts) if len(w) >= gram]
+        self.ids = [texts[n][0] for n in kept]
+        self.words = [texts[n][1] for n in kept]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(x for ws in self.words for x in ws), 1)}
-        grams: dict[int, list[int]] = defaultdict(list)
-        for k, ws in enumerate(self.words):
-            for h in set(self.hashes(self.codes(ws))[1].tolist()):
-                grams[h].append(k)
-        # what many items have in common is an instruction, not a passage
-        many = max(20, len(self.ids) // 20)
-        kept = {h: v for h, v in grams.items() if len(v) <= many}
-        self.keys = np.array(sorted(kept), np.uint64)
-        self.holders = [kept[int(h)] for h in self.keys]
-        self.seldom = [[h in kept for h in self.hashes(self.codes(ws))[1].tolist()] for ws in self.words]
+        hashes = [self.hashes(self.codes(ws))[1].tolist() for ws in self.words]
+        if counted is None:
+            # several texts of one id are one item
+            holders = Counter(h for _, h in {(i, h) for i, hs in zip(self.ids, hashes, strict=True) for h in hs})
+            self.seldom = [uncommon([holders[h] > SHARED for h in hs], gram) for hs in hashes]
+        else:
+            self.seldom = [counted[n] for n in kept]
+        grams: dict[int, dict[int, None]] = defaultdict(dict)
+        for k, (hs, keep) in enumerate(zip(hashes, self.seldom, strict=True)):
+            for h, x in zip(hs, keep, strict=True):
+                if x:
+                    grams[h][k] = None
+        self.keys = np.array(sorted(grams), np.uint64)
+        self.holders = [list(grams[int(h)]) for h in self.keys]
 
     def codes(self, ws: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.uint64, len(ws))
@@ -121,12 +189,7 @@ class Index:
         for j in range(1, self.gram):
             known = known & (codes[j : n + j] > 0)
         at = np.flatnonzero(known)
-        h = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(self.gram):
-                h = (h ^ codes[at + j]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-        return at, h
+        return at, _mixed(codes, at, self.gram)
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, matching words, first word, end word) of every stretch of at least WORDS words of an item in ``text``."""
@@ -231,53 +294,153 @@ def _joined(stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]
     return out
 
 
+def _dense(at: np.ndarray) -> bool:
+    """Whether HITS of these positions lie within twice WORDS somewhere."""
+    return len(at) >= HITS and bool((at[HITS - 1 :] - at[: len(at) - HITS + 1] <= 2 * WORDS).any())
+
+
+def _found(text: str, hits: list[tuple]) -> list[tuple]:
+    """(item, words, start, end) in characters; an id may have several texts, and what they find in one place is one stretch."""
+    spans = word_spans(text)
+    each: dict[object, list[tuple[int, int, int]]] = defaultdict(list)
+    for i, *stretch in hits:
+        each[i].append(tuple(stretch))
+    return [(i, n, spans[x][0], spans[y - 1][1]) for i, found_in in each.items() for n, x, y in _joined(found_in)]
+
+
+def _rows(b: pa.RecordBatch, found: list[tuple[int, list[tuple]]], item_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    at = pa.array([row for row, hits in found for _ in hits], pa.int64())
+    cells = list(zip(*(x for _, hits in found for x in hits), strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([b["k"].take(at), pa.array(cells[0]).cast(item_type), *(pa.array(c, pa.int32()) for c in cells[1:]), b["h"].take(at)], names=names)
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
     """(key, item, words, start, end, text_hash) for each stretch of a document with at least 20 words of an item in order.
 
     Case, punctuation, layout, hyphenation, markup and forms of characters don't matter; up to GAP other words in a
-    row inside a stretch don't end it as long as KEPT of its words are the item's. What more than 20 items (and a
-    twentieth of all) share is an instruction and doesn't count. A document has a row for
+    row inside a stretch don't end it as long as KEPT of its words are the item's. n-grams that more than SHARED items
+    have are an instruction and don't count, unless LONG words of them follow each other; items are counted over the
+    whole table, so neither its size nor ``block`` matters. A document has a row for
     every stretch: an item held twice, or in parts more than GAP words apart, gives several. ``start`` and ``end`` are
     character offsets in the text as stored, and ``text_hash`` tells which text where a key has several.
 
-    The items' n-gram hashes are broadcast in blocks of at most ``block`` items, and the documents, read whole, are
-    scanned once per block; nothing is shuffled. Null and blank texts and null ids of items have no cases. Repeated
-    item rows count once; repeated documents give their rows each.
+    Up to ``block`` items whose texts have at most ITEM_BYTES are broadcast as an index of their n-grams, and the
+    documents, read whole, are scanned once without a shuffle. Beyond, the n-grams are kept as a table, and a bitmap
+    of them, of a fixed number of bits for any number of items, is broadcast instead: documents dense enough in its
+    n-grams are joined with the items that have these, and only those few are searched as before. Null and blank texts
+    and null ids of items have no cases. Repeated item rows count once; repeated documents give their rows each.
     """
-    spark = documents.sparkSession
     rows = items.filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
-    blocks = max(1, -(-rows.count() // block))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
     kinds = {**dict(documents.dtypes), "item": dict(items.dtypes)[item]}
+    names = [key, item, "words", "start", "end", "text_hash"]
     schema = f"`{key}` {kinds[key]}, `{item}` {kinds['item']}, words int, start int, end int, text_hash bigint"
-    out = None
-    for n in range(blocks):
-        mine = rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n) if blocks > 1 else rows
-        index = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in mine.orderBy("i", "t").collect()]))
+    item_type = pa.int64() if kinds["item"] == "bigint" else pa.int32() if kinds["item"] == "int" else pa.string()
+    docs = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).filter("t is not null")
+    if size.n > block or size.bytes > ITEM_BYTES:
+        near = _near(docs, rows)
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = index.value.search
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found: list[list] = [[], [], [], [], []]
-                for row, t in enumerate(b["t"].to_pylist()):
-                    if hits := search(t):
-                        spans = word_spans(t)
-                        # an id may have several texts; what they find in one place is one stretch
-                        each: dict[object, list[tuple[int, int, int]]] = defaultdict(list)
-                        for i, *stretch in hits:
-                            each[i].append(tuple(stretch))
-                        for i, n, x, y in ((i, *stretch) for i, found_in in each.items() for stretch in _joined(found_in)):
-                            y = min(y, len(spans))
-                            ends = (spans[x][0], spans[y - 1][1]) if x < y else (0, len(t))
-                            for c, v in zip(found, (row, i, n, *ends), strict=True):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(found[0], pa.int64())), pa.array(found[1]).cast(index_type), *(pa.array(c, pa.int32()) for c in found[2:]), b["h"].take(pa.array(found[0], pa.int64()))], names=[key, item, "words", "start", "end", "text_hash"])
-
-        index_type = pa.int64() if kinds["item"] == "bigint" else pa.int32() if kinds["item"] == "int" else pa.string()
-        part = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).filter("t is not null").mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
+                found = []
+                for n, (t, xs) in enumerate(zip(b["t"].to_pylist(), b["items"].to_pylist(), strict=True)):
+                    if hits := Index([(x["i"], x["t"]) for x in xs], [x["counted"] for x in xs]).search(t):
+                        found.append((n, _found(t, hits)))
+                yield _rows(b, found, item_type, names)
+
+        return near.mapInArrow(check, schema)
+    index = documents.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in rows.orderBy("i", "t").collect()]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = index.value.search
+        for b in batches:
+            yield _rows(b, [(n, _found(t, hits)) for n, t in enumerate(b["t"].to_pylist()) if (hits := search(t))], item_type, names)
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _near(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(k, t, h, items): the documents dense in n-grams of items, each with the items (i, t, counted) it may hold."""
+    kind = dict(items.dtypes)["i"]
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [gram_hashes(words(t)).view(np.int64) for t in b["t"].to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(hs)), [len(h) for h in hs]))
+            cells = [np.concatenate([np.arange(len(h)) for h in hs]) if hs else [], np.concatenate(hs) if hs else []]
+            yield pa.RecordBatch.from_arrays([b["i"].take(at), b["x"].take(at), pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64())], names=["i", "x", "p", "g"])
+
+    items = items.withColumn("x", F.xxhash64("t"))
+    each = cut(items.mapInArrow(grams, f"i {kind}, x bigint, p int, g bigint"))
+    common = each.select("i", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARED).select("g", F.lit(True).alias("common"))
+    flags = each.join(common, "g", "left").groupBy("i", "x").agg(F.sort_array(F.collect_list(F.struct("p", F.coalesce("common", F.lit(False)).alias("c")))).alias("ps"))
+
+    def mark_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counted = [uncommon([y["c"] for y in ps]) for ps in b["ps"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["i"], b["x"], pa.array(counted, pa.list_(pa.bool_()))], names=["i", "x", "counted"])
+
+    counted = cut(flags.mapInArrow(mark_counted, f"i {kind}, x bigint, counted array<boolean>"))
+    postings = each.join(counted, ["i", "x"]).filter(F.element_at("counted", F.col("p") + 1)).select("g", "i", "x").distinct()
+    postings = cut(postings)
+    n = postings.count()
+    parts = max(1, -(-n * BITS // MOST_BITS))
+    bits = 1 << max(18, int(np.ceil(np.log2(max(1, n) * BITS / parts))))
+    texts = counted.join(items, ["i", "x"]).select("i", "x", F.struct("i", "t", "counted").alias("item"))
+    out = None
+    for part in range(parts):
+        # an item's n-grams stay together, so that a document dense in them is so in one scan
+        mine = postings.filter(F.pmod(F.xxhash64("i", "x"), F.lit(parts)) == part) if parts > 1 else postings
+        dense = cut(_dense_in(docs, mine, bits))
+        # copies of a document count once
+        hits = dense.select("d", "g").dropDuplicates(["d"]).select("d", F.explode("g").alias("g")).groupBy("d", "g").agg(F.count(F.lit(1)).alias("n"))
+        pairs = hits.join(mine, "g").groupBy("d", "i", "x").agg(F.sum("n").alias("n")).filter(F.col("n") >= HITS)
+        lists = pairs.join(texts, ["i", "x"]).groupBy("d").agg(F.collect_list("item").alias("items"))
+        near = dense.select("d", "k", "t", "h").join(lists, "d").select("k", "t", "h", "items")
+        out = near if out is None else out.unionByName(near)
     return out
 
 
+def _dense_in(docs: DataFrame, postings: DataFrame, bits: int) -> DataFrame:
+    """(d, k, t, h, g): documents with HITS of the n-grams within twice WORDS, with all their n-grams that may be among them.
+
+    ``d`` is a hash of key and text; two documents of one hash are only searched for more items than they need.
+    """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)["k"]
+    segment = 1 << 18
+
+    def mark(group: pa.Table) -> pa.Table:
+        field = np.zeros(segment, bool)
+        field[group["b"].to_numpy()] = True
+        return pa.table({"s": group["s"][:1], "field": pa.array([np.packbits(field).tobytes()], pa.binary())})
+
+    low = F.col("g").bitwiseAND(F.lit(bits - 1))
+    spots = postings.select(F.shiftright(low, 18).cast("int").alias("s"), low.bitwiseAND(F.lit(segment - 1)).cast("int").alias("b")).distinct()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    # the segments together are the bitmap: bits / 8 bytes, however many n-grams there are
+    for r in spots.groupBy("s").applyInArrow(mark, "s int, field binary").toLocalIterator():
+        bitmap[r.s * (segment // 8) : (r.s + 1) * (segment // 8)] = np.frombuffer(r.field, np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            hits: list[np.ndarray] = []
+            for n, t in enumerate(b["t"].to_pylist()):
+                g = gram_hashes(words(t))
+                spot = g & np.uint64(bits - 1)
+                hit = (shared.value[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1
+                at = np.flatnonzero(hit)
+                if _dense(at):
+                    rows.append(n)
+                    hits.append(g[at].view(np.int64))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in "dkth"), pa.array(hits, pa.list_(pa.int64()))], names=["d", "k", "t", "h", "g"])
+
+    return docs.select(F.xxhash64("k", "t").alias("d"), "k", "t", "h").mapInArrow(scan, f"d bigint, k {kind}, t string, h bigint, g array<bigint>")
+
+
 def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``documents`` without the leaked spans, or with ``whole`` without the documents that have any."""
     if whole:

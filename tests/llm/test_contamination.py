@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from tarnflow.llm import contamination as c
 
 R = random.Random(5)
@@ -90,3 +93,41 @@ def test_every_stretch_of_an_item_is_found_and_removed(spark):
     clean = c.without_leaks(d, hits)
     assert c.leaks(clean, e).count() == 0
     assert all(not set(c.words(r.text)) & set(w) for r in clean.collect() if r.doc_id not in (5, 7))
+
+
+def test_items_count_alike_whatever_their_number_and_block(spark):
+    shared, instruction = text(24), text(30)
+    long_passage = text(70)
+    items = {i: text(10) + (shared if i < 20 else []) + text(20) for i in range(40)}
+    items |= {i: instruction + text(30) for i in range(40, 70)} | {i: text(4) + long_passage + text(4) for i in range(70, 100)}
+    more = items | {i: ["".join(R.choice("abcdefghij") for _ in range(6)) for _ in range(50)] for i in range(1000, 2000)}
+    docs = spark.createDataFrame([(1, DOC(shared)), (2, DOC(instruction)), (3, DOC(items[50][30:])), (4, DOC(long_passage, shared)), (4, DOC(long_passage, shared)), (None, DOC(items[3])), (6, ""), (7, None), (8, "x &lt;b&gt;" + DOC(items[30]))], "doc_id bigint, text string")
+    want = {(1, i) for i in range(20)} | {(3, 50)} | {(4, i) for i in [*range(20), *range(70, 100)]} | {(None, i) for i in range(20)} | {(8, 30)}
+    seen = []
+    for its, block in ((items, 1000), (items, 7), (more, 5000), (more, 100)):
+        e = spark.createDataFrame([(i, " ".join(w)) for i, w in its.items()], "item_id bigint, text string")
+        got = sorted(map(tuple, c.leaks(docs, e, block=block).collect()), key=repr)
+        assert {(r[0], r[1]) for r in got} == want
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2] == seen[3] and len(seen[0]) == len(want) + 50
+
+
+def test_more_ngrams_than_a_bitmap_holds_take_more_scans(spark, monkeypatch):
+    monkeypatch.setattr(c, "MOST_BITS", 1 << 14)
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in ITEMS.items()], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, DOC(w[3:30])) for i, w in list(ITEMS.items())[1:9]], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in c.leaks(docs, e, block=5).collect()} == {(i, i) for i in range(1, 9)}
+
+
+def test_spans_of_escaped_markup():
+    for t in ("&lt;b&gt;hello world", "a &amp;lt;i&amp;gt; b", "x&#60;br&#62;y z", "&notit; &ampfoo &#x1F600;ok", "wa-\nter <b>m&eacute;n</b> a&shy;b", "e\u0301a\u0327\u0301 \u2460\ufb01x", "İ ǰ ß ŉ"):
+        spans = c.word_spans(t)
+        assert len(spans) == len(c.words(t)), t
+    t = "&lt;b&gt;hello world"
+    assert [t[a:b] for a, b in c.word_spans(t)] == ["hello", "world"]
+
+
+@given(st.text(alphabet=st.sampled_from("ab éß-\n\r&;#<>/6lt gtAMP0\u00ad\u0301аεﬁ½"), max_size=40))
+def test_spans_agree_with_words_on_any_text(t):
+    spans = c.word_spans(t)
+    assert len(spans) == len(c.words(t)) and all(a < b for a, b in spans) and spans == sorted(spans)
