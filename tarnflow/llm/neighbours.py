@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,20 @@ from pyspark.sql import functions as F
 
 from tarnflow.session import cut, small
 
-#: Vectors the partition model is fitted on, at most.
+#: Vectors each partition model is fitted on, at most.
 TRAIN = 12_000
-#: Vectors of a part the number of parts aims at, and the number of parts at most.
-PART_ROWS, PARTS = 2_000, 512
+#: Vectors of a part the number of parts aims at. Above FLAT parts there are two levels, of about the square root each.
+PART_ROWS, FLAT = 2_000, 256
+#: Small collections have up to FEW parts of at least LEAST_ROWS vectors, so that they go the same way.
+FEW, LEAST_ROWS = 8, 100
+#: Parts of one model at most, and the vectors it needs for each.
+PARTS, PART_TRAIN = 700, 16
 #: Parts a query is sent to: the most probable ones up to this sum of probabilities, within these numbers.
-MASS, LEAST, MOST = 0.99, 3, 16
+MASS, LEAST, MOST = 0.995, 3, 16
 #: Vectors and queries of one task at most; larger parts are searched in blocks.
 BLOCK, QUERIES = 4_096, 16_384
+#: Copies of one vector that meet in one task, about.
+COPIES = 100_000
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = 64) -> DataFrame:
@@ -92,6 +99,7 @@ class Router:
 
     def __init__(self, x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, hidden: int = 128, epochs: int = 24, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
+        self.parts = parts
         self.mean, self.scale = x.mean(0), np.float32(x.std() + 1e-9)
         sizes = [(x.shape[1], hidden), (hidden, parts)]
         p = [r.normal(0, np.sqrt(2 / a), (a, b)).astype(np.float32) for a, b in sizes]
@@ -133,17 +141,105 @@ class Router:
         return self._softmax(np.maximum(self._norm(x) @ self.p[0] + self.p[1], 0) @ self.p[2] + self.p[3])
 
 
-def fit_router(vectors: DataFrame, count: int, train: int = TRAIN, part_rows: int = PART_ROWS, k: int = 10) -> tuple[Router | None, int]:
-    """The router of a collection, fitted on at most ``train`` of its vectors, and its number of parts."""
-    parts = int(min(PARTS, max(1, round(count / part_rows)), max(1, min(count, train) // 16)))
+class Routes:
+    """The parts of a collection: those of one model, or those of a model of its own below each part of a first one."""
+
+    def __init__(self, top: Router | None = None, below: dict[int, tuple[int, Router | None]] | None = None) -> None:
+        self.top, self.below = top, below or {}
+        self.first: dict[int, int] = {}
+        n = 0
+        for i in sorted(self.below):
+            self.first[i] = n
+            n += self.below[i][0]
+
+    def send(self, x: np.ndarray, mass: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` and parts: each row with its most probable parts up to ``mass``, at least ``least`` and at most ``most``."""
+        if self.top is None:
+            return np.arange(len(x)), np.zeros(len(x), np.int32)
+        at, part, p = _likely(self.top.probabilities(x), mass, least, most)
+        if not self.below:
+            return at, part
+        rows, leaves, ps = [], [], []
+        for i in np.unique(part):
+            n, router = self.below.get(int(i), (1, None))
+            here = np.flatnonzero(part == i)
+            if router is None:
+                r, j, q = np.arange(len(here)), np.zeros(len(here), np.int64), np.ones(len(here), np.float32)
+            else:
+                r, j, q = _likely(router.probabilities(x[at[here]]), mass, least, most)
+            rows.append(at[here][r])
+            leaves.append(self.first.get(int(i), 0) + j)
+            ps.append(p[here][r] * q)
+        rows, leaves, ps = np.concatenate(rows), np.concatenate(leaves), np.concatenate(ps)
+        # of the leaves of all parts the most probable ones together
+        order = np.lexsort((leaves, -ps, rows))
+        rows, leaves, ps = rows[order], leaves[order], ps[order]
+        start = np.flatnonzero(np.concatenate([[True], np.diff(rows) > 0])) if len(rows) else np.zeros(0, int)
+        rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+        before = np.cumsum(ps) - ps
+        before -= np.repeat(before[start], np.diff(np.append(start, len(rows))))
+        take = (rank < most) & ((rank < least) | (before < mass))
+        return rows[take], leaves[take].astype(np.int32)
+
+
+def _likely(p: np.ndarray, mass: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, probability) of the most probable columns of each row."""
+    order = np.argsort(-p, axis=1, kind="stable")[:, :most]
+    top = np.take_along_axis(p, order, 1)
+    take = (np.cumsum(top, 1) - top < mass) | (np.arange(order.shape[1]) < least)
+    at, j = np.nonzero(take)
+    return at, order[at, j].astype(np.int32), top[at, j]
+
+
+def part_count(count: int, part_rows: int = PART_ROWS) -> int:
+    """The number of parts of a collection: in proportion to its vectors, and a few for a small one."""
+    return max(1, round(count / part_rows), min(FEW, count // LEAST_ROWS))
+
+
+def fit_router(vectors: DataFrame, count: int, train: int = TRAIN, part_rows: int = PART_ROWS, k: int = 10, parts: int | None = None) -> tuple[Router | None, int]:
+    """A router of a collection, fitted on at most ``train`` of its vectors, and its number of parts."""
+    parts = int(min(PARTS, parts or part_count(count, part_rows), max(1, min(count, train) // PART_TRAIN)))
     if parts == 1:
         return None, 1
     share = train / max(count, 1)
     sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.3 * share) + 1)).orderBy(F.xxhash64("id")).limit(train) if count > train else vectors.orderBy("id")
-    x = _matrix(sample.select("v").toArrow()["v"])
+    return _fit(_matrix(sample.select("v").toArrow()["v"]), parts, k), parts
+
+
+def _fit(x: np.ndarray, parts: int, k: int = 10, **size: int) -> Router:
     graph = nearest(x, x, k + 1)
-    part = balanced_parts(x, graph, parts)
-    return Router(x, graph, part, parts), parts
+    return Router(x, graph, balanced_parts(x, graph, parts), parts, **size)
+
+
+def fit_routes(vectors: DataFrame, count: int, train: int = TRAIN, part_rows: int = PART_ROWS) -> Routes:
+    """The routes of a collection of any size: one level of parts, or two above FLAT parts.
+
+    The first level is fitted on at most ``train`` vectors. The second gives each of its parts a number of leaves in
+    proportion to the vectors that fall into it, fitted in one task per part on at most ``train`` of these. The models
+    are some 100 KB each, and there are at most PARTS of them.
+    """
+    wanted = part_count(count, part_rows)
+    if wanted <= FLAT:
+        return Routes(fit_router(vectors, count, train, part_rows)[0])
+    top, _ = fit_router(vectors, count, train, part_rows, parts=int(np.ceil(np.sqrt(wanted))))
+    shared = vectors.sparkSession.sparkContext.broadcast(Routes(top))
+    placed = cut(_routed(vectors, shared, 0.0, 1, 1))
+    sizes = {r.part: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    leaves = {p: int(min(PARTS, max(1, round(n / part_rows)), max(1, min(n, train) // PART_TRAIN))) for p, n in sizes.items()}
+
+    def fit(group: pa.Table) -> pa.Table:
+        part = group["part"][0].as_py()
+        x = _matrix(group["v"])[np.argsort(group["id"].to_numpy(), kind="stable")][:train]
+        n = min(leaves[part], len(x) // PART_TRAIN)
+        model = b"" if n < 2 else pickle.dumps(_fit(x, n, hidden=64, epochs=16))
+        return pa.table({"part": group["part"][:1], "n": pa.array([max(1, n)], pa.int32()), "model": pa.array([model], pa.binary())})
+
+    million = 1_000_000
+    rate = F.create_map(*(F.lit(x) for p, n in sizes.items() for x in (p, min(million, million * train // n))))
+    sample = placed.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(million)) < F.element_at(rate, F.col("part")))
+    fitted = sample.groupBy("part").applyInArrow(fit, "part int, n int, model binary").toLocalIterator()
+    below = {r.part: (r["n"], pickle.loads(bytes(r.model)) if r.model else None) for r in fitted}
+    return Routes(top, {p: below.get(p, (1, None)) for p in range(top.parts)})
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -151,35 +247,26 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(a), -1)
 
 
-def _routed(vectors: DataFrame, router, mass: float, least: int, most: int) -> DataFrame:
+def _routed(vectors: DataFrame, routes, mass: float, least: int, most: int) -> DataFrame:
     """(id, v, part): each vector with the most probable parts."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            if router is None:
-                at, part = np.arange(b.num_rows), np.zeros(b.num_rows, np.int32)
-            else:
-                p = router.value.probabilities(_matrix(b["v"]))
-                order = np.argsort(-p, axis=1, kind="stable")[:, :most]
-                top = np.take_along_axis(p, order, 1)
-                take = (np.cumsum(top, 1) - top < mass) | (np.arange(order.shape[1]) < least)
-                at, j = np.nonzero(take)
-                part = order[at, j].astype(np.int32)
-            ids = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b["id"].take(ids), b["v"].take(ids), pa.array(part, pa.int32())], names=["id", "v", "part"])
+            if b.num_rows:
+                at, part = routes.value.send(_matrix(b["v"]), mass, least, most)
+                ids = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b["id"].take(ids), b["v"].take(ids), pa.array(part, pa.int32())], names=["id", "v", "part"])
 
     return vectors.select("id", "v").mapInArrow(route, "id bigint, v array<float>, part int")
 
 
-def _search(base: DataFrame, queries: DataFrame, router, k: int, same: bool) -> DataFrame:
+def _search(base: DataFrame, queries: DataFrame, routes, k: int, same: bool) -> DataFrame:
     """(id, near array<struct<d double, id bigint>>): for each query its k nearest of the vectors in its parts.
 
     ``same``: queries are base vectors; none finds itself.
     """
-    b = _routed(base, router, 0.0, 1, 1)
-    q = _routed(queries, router, MASS, LEAST, MOST)
+    b = _routed(base, routes, 0.0, 1, 1)
+    q = _routed(queries, routes, MASS, LEAST, MOST)
     counts = small(b.groupBy("part").agg(F.count(F.lit(1)).alias("nb")).join(q.groupBy("part").agg(F.count(F.lit(1)).alias("nq")), "part").select("part", F.ceil(F.col("nb") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("nq") / QUERIES).cast("int").alias("nq")))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -216,12 +303,24 @@ def _search(base: DataFrame, queries: DataFrame, router, k: int, same: bool) ->
     return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
-def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(id, v) of one vector per value, the one with the least id; and (rep, ids, n): the k + 1 least ids of each value."""
+def _copies(vectors: DataFrame, k: int) -> DataFrame:
+    """(id, v, ids, n): each value once, under the least of its ids, with the k + 1 least ids and how many have it.
+
+    Of a value that many have only k + 1 ids leave each task.
+    """
     order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    firsts = vectors.withColumn("rank", order).filter(F.col("rank") <= k + 1)
-    values = cut(firsts.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)))
-    return values.select("id", "v"), values.select(F.col("id").alias("rep"), "ids")
+    firsts = vectors.withColumn("rank", order).filter(F.col("rank") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    counts = vectors.groupBy(F.col("v").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return cut(firsts.join(counts, F.col("v") == F.col("w")).select(F.element_at("ids", 1).alias("id"), "v", "ids", "n"))
+
+
+def _to_all(vectors: DataFrame, values: DataFrame) -> DataFrame:
+    """``vectors`` joined with a row per value (v, n, ...); the copies of a common value are spread over several tasks."""
+    m = F.ceil(F.col("n") / F.lit(COPIES)).cast("int")
+    common = small(values.filter(F.col("n") > COPIES).select("v", m.alias("m")))
+    left = vectors.join(common, "v", "left").select("id", "v", F.pmod(F.xxhash64("id"), F.coalesce("m", F.lit(1))).cast("int").alias("salt"))
+    right = values.withColumn("salt", F.explode(F.sequence(F.lit(0), m - 1)))
+    return left.join(right, ["v", "salt"])
 
 
 def _expand(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -238,7 +337,8 @@ def similar(base: DataFrame, queries: DataFrame | None = None, key: str = "vec_i
 
     A model is fitted on at most ``train`` vectors: their neighbour graph is cut into balanced parts, and a small
     classifier learns which parts a vector's neighbours are in. Every base vector is then indexed under its most
-    probable part, and every query is compared with all vectors of its few most probable parts. Parts of any size
+    probable part, and every query is compared with all vectors of its few most probable parts. Parts grow in number
+    with the collection, above FLAT of them on two levels, so that the work per query stays the same. Parts of any size
     are searched in blocks. Equal vectors are searched as one and expanded to the least k + 1 of their ids, which is
     all that k nearest can name. The only loss is of neighbours in parts a query isn't sent to.
 
@@ -247,21 +347,19 @@ def similar(base: DataFrame, queries: DataFrame | None = None, key: str = "vec_i
     """
     spark = base.sparkSession
     vectors = cut(usable(base, key, vector, dim))
-    values, members = _copies(vectors, k)
-    count = values.count()
-    model, _ = fit_router(values, count, train, part_rows)
-    router = None if model is None else spark.sparkContext.broadcast(model)
+    values = _copies(vectors, k)
+    members = values.select(F.col("id").alias("rep"), "ids")
+    routes = spark.sparkContext.broadcast(fit_routes(values.select("id", "v"), values.count(), train, part_rows))
     if queries is not None:
         q = usable(queries, query_key, vector, dim)
-        found = _expand(_search(values, q, router, k, False), members, k)
+        found = _expand(_search(values, q, routes, k, False), members, k)
     else:
-        other = _expand(_search(values, values, router, k, True), members, k)
-        rows = members.join(other.select(F.col("id").alias("rep"), "near"), "rep", "left")
+        other = _expand(_search(values, values, routes, k, True), members, k)
         own = F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id")))
-        rows = rows.select("rep", F.concat(own, F.coalesce("near", F.array().cast("array<struct<d:double,id:bigint>>"))).alias("pool"))
+        rows = values.join(other.select("id", "near"), "id", "left")
+        rows = rows.select("v", "n", F.concat(own, F.coalesce("near", F.array().cast("array<struct<d:double,id:bigint>>"))).alias("pool"))
         # every vector of a value has the pool of that value; itself is left out
-        rep = values.select(F.col("id").alias("rep"), "v").join(vectors, "v").select("rep", "id")
-        found = rep.join(rows, "rep").select("id", F.slice(F.filter("pool", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+        found = _to_all(vectors, rows).select("id", F.slice(F.filter("pool", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
     return found.select("id", F.posexplode("near").alias("pos", "x")).select("id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("near_id"), F.col("x.d").alias("distance"))
 
 

@@ -72,3 +72,45 @@ def test_parts_are_balanced_and_follow_the_graph(spark):
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, v array<float>")
     router, parts = fit_router(df, 600, part_rows=75)
     assert parts == 8 and router.probabilities(x).shape == (600, 8) and np.allclose(router.probabilities(x).sum(1), 1, atol=1e-4)
+
+
+def test_two_levels_of_parts(spark, monkeypatch):
+    from tarnflow.llm import neighbours as n
+
+    monkeypatch.setattr(n, "FLAT", 4)
+    x = clustered(2400, seed=3)
+    base = {i: [float(a) for a in v] for i, v in enumerate(x)}
+    vectors = frame(spark, base.items()).selectExpr("vec_id as id", "val as v")
+    routes = n.fit_routes(vectors, 2400, train=800, part_rows=40)
+    leaves = sum(k for k, _ in routes.below.values())
+    assert routes.top.parts == 8 and 40 <= leaves <= 75
+    at, part = routes.send(x, n.MASS, n.LEAST, n.MOST)
+    assert set(at) == set(range(2400)) and 0 <= part.min() and part.max() < leaves and np.bincount(at).max() <= n.MOST
+    assert len(set(zip(at.tolist(), part.tolist()))) == len(at)
+    own, home = routes.send(x, 0.0, 1, 1)
+    assert (own == np.arange(2400)).all() and len(set(home)) > 20
+    got = {}
+    for r in similar(frame(spark, base.items()), dim=8, part_rows=40, train=800).collect():
+        got.setdefault(r.id, set()).add(r.near_id)
+    some = {i: base[i] for i in range(0, 2400, 12)}
+    want = {i: [j for _, j in sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in base.items() if j != i)[:10]] for i, v in some.items()}
+    assert all(len(v) == 10 for v in got.values()) and len(got) == 2400
+    assert sum(len(set(want[i]) & got[i]) for i in want) / (10 * len(want)) >= 0.9
+
+
+def test_small_collections_are_parted_too():
+    from tarnflow.llm.neighbours import part_count
+
+    assert [part_count(c) for c in (0, 50, 199, 200, 991, 10_000, 100_000, 10_000_000)] == [1, 1, 1, 2, 8, 8, 50, 5000]
+
+
+def test_copies_of_a_common_value_are_spread(spark, monkeypatch):
+    from tarnflow.llm import neighbours as n
+
+    monkeypatch.setattr(n, "COPIES", 7)
+    rows = [(i, [1.0, 2.0]) for i in range(60)] + [(100 + i, [float(i), 3.0]) for i in range(30)]
+    got = {}
+    for r in similar(frame(spark, rows), dim=2).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.near_id)
+    live = dict(rows)
+    assert got == exact(live, live)
