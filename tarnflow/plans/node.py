@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.session import BROADCAST_ROWS
+from tarnflow import session
 from tarnflow.zset import W
 
 SEQ = "__seq"
@@ -78,12 +78,12 @@ def same(keys: Sequence[str], mark: str = "__k") -> Column:
 
 
 def _keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct keys under other names; in a transaction marked for broadcast if they were counted to be few."""
+    """The distinct keys under other names; in a transaction marked for broadcast if they were found to be small."""
     ks = df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys))).distinct()
     if _held.get() is None:  # a reader: the files' sizes decide how Catalyst joins
         return ks
     ks = hold(ks)
-    return F.broadcast(ks) if ks.count() <= BROADCAST_ROWS else ks
+    return F.broadcast(ks) if session.weigh(ks) <= session.BROADCAST_BYTES else ks
 
 
 def touched(state: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:

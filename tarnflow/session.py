@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a lookup table of narrow rows may be broadcast (about 50 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table's values up to which it may be broadcast; its hash table takes some three times as much.
+BROADCAST_BYTES = 64 << 20
+#: Bytes that a row and each value of varying length count for besides their contents.
+ROW, VALUE = 16, 8
 
 
 def build_session(app: str = "tarnflow", cpus: int = 8, **conf: str) -> SparkSession:
@@ -37,11 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; where none is set, a temporary one, on a local master only.
+
+    What is checkpointed is deleted when the application ends.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnflow-checkpoint-"))
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return named or sc.getCheckpointDir()
 
 
@@ -51,7 +61,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` cut and, if it has at most ``rows`` rows, marked for broadcast; larger ones join by shuffle."""
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") + VALUE
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(VALUE).cast("bigint"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(c, F.lit(VALUE).cast("bigint"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(0).cast("bigint"))
+        return F.greatest(F.size(c), F.lit(0)).cast("bigint") * 8 + VALUE
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + _bytes(F.map_values(c), T.ArrayType(kind.valueType))
+    return F.lit(8).cast("bigint")
+
+
+def weigh(df: DataFrame) -> int:
+    """The bytes of all values of a table, counted where they are."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW).cast("bigint"))
+    return int(df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("n")).first()["n"])
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` cut and, if its values have at most ``most`` bytes (BROADCAST_BYTES), marked for broadcast; larger ones join by shuffle."""
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return F.broadcast(kept) if weigh(kept) <= (BROADCAST_BYTES if most is None else most) else kept
