@@ -102,6 +102,16 @@ class EmbeddingModel:
         ids = self.ids(text)
         return (self.rows([CLS, *ids, SEP]).sum(0) / max(len(ids), 1)).astype(np.float32)
 
+    def encode_all(self, texts: Sequence[str | None]) -> np.ndarray:
+        """The vectors of several texts as the rows of a matrix; null counts as empty."""
+        ids = [self.ids(t) if t else [] for t in texts]
+        flat = np.fromiter((i for x in ids for i in (CLS, *x, SEP)), np.int64)
+        at = np.cumsum([0, *(len(x) + 2 for x in ids)])[:-1]
+        if not len(ids):
+            return np.zeros((0, self.dimensions), np.float32)
+        sums = np.add.reduceat(self.rows(flat), at, axis=0)
+        return (sums / np.maximum([len(x) for x in ids], 1)[:, None]).astype(np.float32)
+
     def quantized(self, bits: int = 8) -> EmbeddingModel:
         lo, hi = float(self.weights.min()), float(self.weights.max())
         levels = 2**bits - 1
@@ -155,8 +165,7 @@ def embed(spark: SparkSession, model: EmbeddingModel):
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
-        m = shared.value
-        return texts.map(lambda t: None if t is None else m.encode(t))
+        return pd.Series([None if t is None else v for t, v in zip(texts, shared.value.encode_all(list(texts)), strict=True)], dtype=object)
 
     return encode
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +68,17 @@ def _blocks(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.n
     return g
 
 
+def _products(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by matrix products; where they are small beside the norms, from the differences."""
+    nq, nb = (q * q).sum(1)[:, None], (b * b).sum(1)[None]
+    d = nq + nb - 2 * (q @ b.T)
+    close = np.argwhere(d <= 1e-6 * (nq + nb))
+    for a in range(0, len(close), 100_000):
+        i, j = close[a : a + 100_000].T
+        d[i, j] = ((q[i] - b[j]) ** 2).sum(1)
+    return d
+
+
 def _cosine(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     norm = (q * q).sum(1)[:, None] * (b * b).sum(1)[None]
     return np.where(norm == 0, 0.0, 1 - q @ b.T / np.sqrt(np.where(norm == 0, 1.0, norm)))
@@ -73,11 +86,23 @@ def _cosine(q: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: The same as (queries, vectors) -> distance matrices over double arrays.
 BLOCK_METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "l2": _blocks(lambda q, b: ((q - b) ** 2).sum(-1)),
-    "euclidean": _blocks(lambda q, b: np.sqrt(((q - b) ** 2).sum(-1))),
+    "l2": _products,
+    "euclidean": lambda q, b: np.sqrt(_products(q, b)),
     "l1": _blocks(lambda q, b: np.abs(q - b).sum(-1)),
     "chebyshev": _blocks(lambda q, b: np.abs(q - b).max(-1)),
     "neg_dot": lambda q, b: -(q @ b.T),
     "cosine": _cosine,
     "hamming": _blocks(lambda q, b: (q != b).sum(-1).astype(float)),
 }
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A distance of one's own: of two array columns, and of blocks (queries, vectors) -> matrix of doubles."""
+
+    column: Callable[[Column, Column], Column]
+    block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
+def metric_of(m: str | Metric) -> Metric:
+    return m if isinstance(m, Metric) else Metric(METRICS[m], BLOCK_METRICS[m])

@@ -192,13 +192,21 @@ class Multimap(Table):
         super().__init__(name, ("key", "val"))
 
     class Reader(Table.Reader):
+        def values(self, key) -> DataFrame | None:
+            """(val) of a key."""
+            return None if self.df is None else self.df.filter(F.col("key").eqNullSafe(F.lit(key))).select("val")
+
+        def keys_of(self, val) -> DataFrame | None:
+            """(key) of those that have a value."""
+            return None if self.df is None else self.df.filter(F.col("val").eqNullSafe(F.lit(val))).select("key")
+
         def get(self, key) -> list:
-            """The values of a key."""
-            return [] if self.df is None else [r["val"] for r in self.df.filter(F.col("key").eqNullSafe(F.lit(key))).collect()]
+            """The values of a key as a list, for keys that have few; see ``values``."""
+            return [] if self.df is None else [r["val"] for r in self.values(key).toLocalIterator()]
 
         def search(self, val) -> list:
-            """The keys that have a value."""
-            return [] if self.df is None else [r["key"] for r in self.df.filter(F.col("val").eqNullSafe(F.lit(val))).collect()]
+            """The keys that have a value as a list, where they are few; see ``keys_of``."""
+            return [] if self.df is None else [r["key"] for r in self.keys_of(val).toLocalIterator()]
 
     def reader(self, state: State) -> Multimap.Reader:
         return self.Reader(state, self.keys)
@@ -326,9 +334,14 @@ class Histogram(Node):
     def quantiles(df: DataFrame, qs: Sequence[float]) -> DataFrame:
         """(q, bucket): the first bucket whose cumulative count reaches max(1, ceil(q * total)); q is cut to [0, 1].
 
-        Buckets are few by construction; the running count over them is the only ordered step.
+        Running counts are formed inside ranges of buckets and over the few ranges, so any number of buckets will do.
         """
-        run = df.withColumn("c", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+        parts = df.filter(F.col("bucket").isNotNull()).repartitionByRange("bucket").withColumn("p", F.spark_partition_id())
+        sums = parts.groupBy("p").agg(F.sum("n").alias("s"))
+        before = sums.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        total = sums.agg(F.sum("s").alias("total"))
+        inside = F.sum("n").over(Window.partitionBy("p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        run = parts.withColumn("c", inside).join(F.broadcast(before), "p").crossJoin(F.broadcast(total)).select("bucket", (F.col("c") + F.col("before")).alias("c"), "total")
         each = run.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs))))
         need = F.greatest(F.lit(1), F.ceil(F.least(F.greatest(F.col("q"), F.lit(0.0)), F.lit(1.0)) * F.col("total")))
         return each.filter(F.col("c") >= need).groupBy("q").agg(F.min("bucket").alias("bucket"))

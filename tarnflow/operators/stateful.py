@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, checked, data_columns, hold, touched
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, _keys_of, checked, data_columns, hold, same, touched
 from tarnflow.zset import W, consolidate
 
 
@@ -139,9 +139,10 @@ class KeyedReduce(Node):
                 rows.append((*k, n, *(acc[c] for c in fields), "a"))
             return pd.DataFrame(rows, columns=["key", "n", *fields, "__side"])
 
+        schema = f"key {key}, n bigint, {self.schema}, __side string"
         if old is None:
-            old = z.sparkSession.createDataFrame([], f"key {key}, n bigint, {self.schema}")
-        return old.groupBy("key").cogroup(z.groupBy("key")).applyInPandas(go, f"key {key}, n bigint, {self.schema}, __side string")
+            return z.groupBy("key").applyInPandas(lambda k, d: go(k, (), d), schema)
+        return old.groupBy("key").cogroup(z.groupBy("key")).applyInPandas(go, schema)
 
     def batch(self, z: DataFrame) -> DataFrame:
         return self._run(z, None).filter("__side = 'a'").drop("__side").withColumn(W, F.lit(1).cast("bigint"))
@@ -193,13 +194,27 @@ class TopK(Node):
         return first_copies(consolidate(z, cols, clamp=True), self.k, descending(cols))
 
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
+        """Keeps the rows that reach into the top with their whole counts: what a commit does above the last of them
+        is told from these and its own rows, and the multiset is gone through only if too few are left."""
         cols = data_columns(delta)
-        old = state.get("all")
-        patch = multiset(delta, old, cols)
-        patch.rows = hold(patch.rows)
-        new = patch.applied(old)
-        top = lambda s: None if s is None else first_copies(s.withColumnRenamed(N, W), self.k, descending(cols))
-        return Step({"all": patch}, changes(top(old), top(new), cols))
+        old, top0 = state.get("all"), state.get("top")
+        m = hold(merged(delta, old, cols))
+        patch = patched(m, cols)
+        mine = m.filter("__n1 > 0").select(*cols, F.col("__n1").alias(N))
+        if old is None:
+            pool = mine
+        else:
+            rows = top0.collect()  # at most k
+            pool = top0.join(_keys_of(m, cols), same(cols), "left_anti").unionByName(mine)
+            if sum(r[N] for r in rows) >= self.k:
+                last = F.broadcast(top0.orderBy(*ascending(cols)).limit(1).select(F.struct("score", *(c for c in cols if c != "score")).alias("__last")))
+                above = pool.crossJoin(last).filter(F.struct("score", *(c for c in cols if c != "score")) >= F.col("__last")).drop("__last")
+                enough = above.agg(F.coalesce(F.sum(N), F.lit(0)).alias("n")).first()["n"] >= self.k
+                pool = above if enough else patch.applied(old)
+        whole = first_copies(pool.withColumn(W, F.col(N)), self.k, descending(cols))
+        whole = hold(whole.select(*cols, N, W))
+        before = None if top0 is None else first_copies(top0.withColumnRenamed(N, W), self.k, descending(cols))
+        return Step({"all": patch, "top": whole.drop(W)}, changes(before, whole.drop(N), cols))
 
 
 class Retain(Node):
@@ -227,19 +242,21 @@ class Retain(Node):
         old = state.get("kept")
         net = consolidate(delta, cols)
         fresh = net.filter(F.col(W) > 0).select(*cols, F.lit(ctx.now_ms).cast("bigint").alias("__ms"), F.lit(ctx.version).cast("bigint").alias("__tx"), F.col(W).alias(N))
+        keys = [*cols, "__ms", "__tx"]
+        entered = fresh.withColumn(GONE, F.lit(False))
         if old is None:
-            return Step({"kept": fresh}, _sequenced(net.filter(F.col(W) > 0)))
+            return Step({"kept": Patch(entered, keys)}, _sequenced(net.filter(F.col(W) > 0)))
         limit = ctx.now_ms - self.horizon
-        aged = old.filter(F.col("__ms") < limit).select(*cols, (-F.col(N)).alias(W))
-        alive = old.filter(F.col("__ms") >= limit)
+        aged = hold(old.filter(F.col("__ms") < limit))
         # a commit's insertions outnumbering its retractions have a positive net, so negatives only meet kept copies
-        need = net.filter(F.col(W) < 0).select(*cols, (-F.col(W)).alias("__need"))
+        need = hold(net.filter(F.col(W) < 0).select(*cols, (-F.col(W)).alias("__need")))
+        alive = touched(old.filter(F.col("__ms") >= limit), need, cols)
         both = alive.withColumn("__need", F.lit(0).cast("bigint")).unionByName(need.select(*cols, F.lit(-(2**62)).alias("__ms"), F.lit(0).cast("bigint").alias("__tx"), F.lit(0).cast("bigint").alias(N), "__need"))
         w = Window.partitionBy(*cols).orderBy("__ms", "__tx")
         both = both.withColumn("__all", F.sum("__need").over(Window.partitionBy(*cols))).withColumn("__before", F.coalesce(F.sum(N).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        both = hold(both.withColumn("__gone", F.least(F.col(N), F.greatest(F.col("__all") - F.col("__before"), F.lit(0)))))
-        cancelled = both.filter("__gone > 0").select(*cols, (-F.col("__gone")).alias(W))
-        kept = both.filter("__n - __gone > 0").select(*cols, "__ms", "__tx", (F.col(N) - F.col("__gone")).alias(N))
-        out = aged.unionByName(cancelled).unionByName(net.filter(F.col(W) > 0))
-        return Step({"kept": kept.unionByName(fresh)}, _sequenced(consolidate(out, cols)))
+        both = hold(both.withColumn("__cut", F.least(F.col(N), F.greatest(F.col("__all") - F.col("__before"), F.lit(0)))).filter("__cut > 0"))
+        left = both.select(*keys, (F.col(N) - F.col("__cut")).alias(N), (F.col(N) == F.col("__cut")).alias(GONE))
+        out = aged.select(*cols, (-F.col(N)).alias(W)).unionByName(both.select(*cols, (-F.col("__cut")).alias(W))).unionByName(net.filter(F.col(W) > 0))
+        patch = aged.select(*keys, N).withColumn(GONE, F.lit(True)).unionByName(left).unionByName(entered)
+        return Step({"kept": Patch(patch, keys)}, _sequenced(consolidate(out, cols)))
 

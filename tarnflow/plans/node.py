@@ -69,6 +69,16 @@ def holding() -> Iterator[None]:
             df.unpersist()
 
 
+@contextmanager
+def lazily() -> Iterator[None]:
+    """Within the block plans are built without running anything, also inside a transaction."""
+    token = _held.set(None)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+
+
 def same(keys: Sequence[str], mark: str = "__k") -> Column:
     """Equality of ``keys`` and their copies named ``mark`` + number; nulls are equal."""
     out = F.lit(True)

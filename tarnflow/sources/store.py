@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping
 
@@ -42,7 +43,7 @@ class Store:
         if version is None:
             version = (self.versions() or [0])[-1]
         if version == 0:
-            return {"version": 0, "tables": {}, "batches": [], "shape": None}
+            return {"version": 0, "tables": {}, "batches": {}, "shape": None}
         stream = self._fs.open(self._Path(f"{self.path}/manifest/{version}.json"))
         try:
             text = bytes(stream.readAllBytes()).decode()
@@ -92,7 +93,11 @@ class Store:
             self._fs.delete(self._Path(p), True)
 
     def publish(self, manifest: Mapping) -> None:
-        """Makes a commit visible; fails if another writer took its version."""
+        """Makes a commit visible; fails if another writer took its version.
+
+        The rename is atomic on file systems with atomic renames, such as HDFS; on object stores there may be one
+        writer only.
+        """
         final = self._Path(f"{self.path}/manifest/{manifest['version']}.json")
         temp = self._Path(f"{self.path}/manifest/.{uuid.uuid4().hex}")
         out = self._fs.create(temp, False)
@@ -105,9 +110,12 @@ class Store:
             self._fs.delete(temp, False)
             raise StoreError(f"version {manifest['version']} was committed by another writer")
 
-    def vacuum(self, keep: int = 2) -> int:
-        """Deletes manifests but the last ``keep`` and the tables only they name; gives the number of tables deleted."""
+    def vacuum(self, keep: int = 2, older_than_ms: int = 0) -> int:
+        """Deletes manifests but the last ``keep`` and the young ones, and the tables only they name; gives the number of tables deleted."""
         versions = self.versions()
+        if older_than_ms:
+            born = {int(s.getPath().getName()[:-5]): s.getModificationTime() for s in self._fs.listStatus(self._Path(f"{self.path}/manifest")) if s.getPath().getName()[:-5].isdigit()}
+            keep = max(keep, sum(born[v] > time.time() * 1000 - older_than_ms for v in versions))
         kept = {p for v in versions[-keep:] for ts in self.manifest(v)["tables"].values() for t in ts.values() for p in (x["path"] for x in t)}
         old = {p for v in versions[:-keep] for ts in self.manifest(v)["tables"].values() for t in ts.values() for p in (x["path"] for x in t)} - kept
         for v in versions[:-keep]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, hold, holding, touched
+from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, hold, holding, lazily, touched
 from tarnflow.sources.store import Store, StoreError
 from tarnflow.zset import W
 
@@ -108,10 +108,12 @@ class Stream:
         return out
 
     @contextmanager
-    def wtx(self, now_ms: int | None = None, batch_id: int | str | None = None) -> Iterator[Tx]:
+    def wtx(self, now_ms: int | None = None, batch_id: int | str | None = None, source: str = "") -> Iterator[Tx]:
         """A transaction: all views change together on leaving the block, or not at all if it raises.
 
-        A ``batch_id`` that was committed before makes the whole transaction a no-op.
+        A ``batch_id`` that was committed before makes the whole transaction a no-op. Numbers rise with every batch of a
+        ``source``, as those of Structured Streaming do, so the highest one of each is kept, and none is ever
+        forgotten; other ids are kept all.
         """
         m = self.store.manifest()
         self._pinned = self.store.read(m)
@@ -119,8 +121,9 @@ class Stream:
         tx = self._begin()
         with holding():
             yield tx
-            if batch_id is None or batch_id not in m["batches"]:
-                self._commit(tx, m, batch_id)
+            seen = m["batches"].get(source, {"last": -1, "ids": []})
+            if batch_id is None or (batch_id > seen["last"] if isinstance(batch_id, int) else batch_id not in seen["ids"]):
+                self._commit(tx, m, batch_id, source)
 
     def _begin(self) -> Tx:
         return Tx(self)
@@ -128,7 +131,7 @@ class Stream:
     def _extra(self, tx: Tx) -> dict[str, dict[str, DataFrame | Patch]]:
         return {}
 
-    def _commit(self, tx: Tx, m: dict, batch_id: int | str | None) -> None:
+    def _commit(self, tx: Tx, m: dict, batch_id: int | str | None, source: str) -> None:
         staged: list[str] = []
         tables = {k: dict(v) for k, v in m["tables"].items()}
         delta = hold(tx.delta())
@@ -136,7 +139,10 @@ class Stream:
             for name, changed in (self._steps(delta, self._pinned, self._context) | self._extra(tx)).items():
                 for t, c in changed.items():
                     staged += self.store.add(tables, name, t, c)
-            batches = [*m["batches"], batch_id][-1000:] if batch_id is not None else m["batches"]
+            batches = dict(m["batches"])
+            if batch_id is not None:
+                last, ids = (b := batches.get(source, {"last": -1, "ids": []}))["last"], b["ids"]
+                batches[source] = {"last": batch_id, "ids": ids} if isinstance(batch_id, int) else {"last": last, "ids": [*ids, batch_id]}
             self.store.publish({"version": m["version"] + 1, "tables": tables, "batches": batches, "shape": self.shape})
         except BaseException:
             self.store.discard(staged)
@@ -151,9 +157,34 @@ class Stream:
         with self.wtx(now_ms=now_ms):
             pass
 
-    def checkpoint(self, keep: int = 2) -> int:
-        """Drops old versions; commits themselves are already durable."""
-        return self.store.vacuum(keep)
+    def checkpoint(self) -> int:
+        """The last version that is durable. Every commit has written its files and manifest out; nothing is deleted."""
+        return self.store.manifest()["version"]
+
+    def vacuum(self, keep: int = 2, older_than_ms: int = 0) -> int:
+        """Drops all versions but the last ``keep`` and those younger than ``older_than_ms``, and the files only they name.
+
+        A reader that still holds a dropped version can't read it any more: give it time with ``older_than_ms``.
+        """
+        return self.store.vacuum(keep, older_than_ms)
+
+
+class Replaced:
+    """The rows that an upsert or a removal replaced, computed when asked for."""
+
+    def __init__(self, rows: Callable[[], DataFrame]) -> None:
+        self._rows = rows
+
+    def rows(self) -> DataFrame:
+        with lazily():
+            return self._rows()
+
+    def get(self):
+        """The replaced row of a single key, None if there was none."""
+        found = self.rows().limit(2).collect()
+        if len(found) > 1:
+            raise ValueError("several keys were written: use rows()")
+        return found[0] if found else None
 
 
 class KeyedTx(Tx):
@@ -166,18 +197,29 @@ class KeyedTx(Tx):
     def push(self, rows, w: int = 1) -> None:
         raise TypeError("a keyed stream is written by upsert and remove")
 
-    def upsert(self, rows: DataFrame | Sequence[tuple]) -> None:
+    def _before(self, df: DataFrame) -> Replaced:
+        earlier = KeyedTx(self._stream)
+        earlier._ops = list(self._ops)
+        return Replaced(lambda: earlier.current(df.select(*self._stream.keys)))
+
+    def upsert(self, rows: DataFrame | Sequence[tuple]) -> Replaced:
+        """Writes rows by their keys; gives the rows they replace, writes of this transaction included."""
         cols = [f.name for f in self._stream.schema.fields]
         df = self._stream.frame(rows)
         order = F.col(SEQ) if SEQ in df.columns else F.lit(0)
+        before = self._before(df)
         self._ops.append(df.select(*cols, F.lit(1).alias("op"), (order + len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
+        return before
 
-    def remove(self, keys: DataFrame | Sequence[tuple]) -> None:
+    def remove(self, keys: DataFrame | Sequence[tuple]) -> Replaced:
+        """Removes keys; gives the rows that were there."""
         s = self._stream
         fields = {f.name: f for f in s.schema.fields}
         df = keys if isinstance(keys, DataFrame) else s.spark.createDataFrame(list(keys), T.StructType([fields[k] for k in s.keys]))
         rest = [F.lit(None).cast(f.dataType).alias(c) for c, f in fields.items() if c not in s.keys]
+        before = self._before(df)
         self._ops.append(df.select(*s.keys, *rest).select(*fields, F.lit(-1).alias("op"), F.lit(len(self._ops) * 2**40).cast("bigint").alias(SEQ)))
+        return before
 
     def _joined(self) -> DataFrame:
         """(keys, __o, __v, __op): the committed row and the last operation of each key that was written."""
@@ -268,11 +310,12 @@ def run_stream(stream: Stream, source: DataFrame, checkpoint: str, apply: Callab
     """Feeds a streaming DataFrame into a stream, one commit per micro-batch, each exactly once.
 
     ``apply(tx, batch)`` writes a batch (default: push it, with its ``__w`` if it has one). A micro-batch that is
-    replayed after a failure finds its id in the manifest and changes nothing. Returns the running query.
+    replayed after a failure finds that its number under this ``checkpoint`` was committed, however long ago, and
+    changes nothing. Returns the running query.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with stream.wtx(now_ms=clock() if clock else None, batch_id=batch_id) as tx:
+        with stream.wtx(now_ms=clock() if clock else None, batch_id=batch_id, source=checkpoint) as tx:
             (apply or (lambda t, b: t.push(b)))(tx, batch)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
