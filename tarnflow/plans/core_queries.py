@@ -214,13 +214,6 @@ def rollup_hour_day(spark, d):
     return one("hour").unionByName(one("day"))
 
 
-@query("SELECT o_custkey AS key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1")
-def upsert_latest(spark, d):
-    o = table(spark, d, "orders")
-    best = o.groupBy(F.col("o_custkey").alias("key")).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("v"))
-    return best.select("key", "v.*")
-
-
 @query("SELECT l_shipdate::DATE AS key, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_discount > 0 GROUP BY 1")
 def daily_positive(spark, d):
     p = Filter(F.col("l_discount") > 0) >> KeyBy(F.col("l_shipdate").cast("date")) >> Aggregate("a", total=F.col("l_extendedprice")) >> Table("t")

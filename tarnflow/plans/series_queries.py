@@ -59,7 +59,12 @@ def p5_rain_counter(spark: SparkSession, d: str) -> DataFrame:
     return g.select("sensor", F.col("cell").alias("hour"), "state", "cells", "readings", F.round("increment", 4).alias("increment"), "resets")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_grid": p5_grid, "p5_rain_counter": p5_rain_counter}
+def p3_steady(spark: SparkSession, d: str) -> DataFrame:
+    """The values that limits and runs alone tell: impossible and stuck ones."""
+    return p3_report(spark, d).filter("kind <> 'spike'")
+
+
+QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p3_found": p3_found, "p3_report": p3_report, "p3_steady": p3_steady, "p5_found": p5_found, "p5_grid": p5_grid, "p5_rain_counter": p5_rain_counter}
 
 _LIVE = """live AS (
   SELECT sensor, at_ms, temp_c_tenths, rain_mm_tenths, wind_mph_tenths, sum(__w)::BIGINT AS n
@@ -89,7 +94,34 @@ cells AS (
 edges AS (
   SELECT *, lag(tz) OVER w AS pz, lead(ta) OVER w AS na, lead(hour) OVER w AS nh FROM cells WINDOW w AS (PARTITION BY sensor ORDER BY hour))"""
 
+_FIELD = """SELECT sensor, at_ms, '{0}' AS field, {0}::DOUBLE AS v, {1} AS possible, {2} AS zero_ok,
+    row_number() OVER (PARTITION BY sensor ORDER BY at_ms, temp_c_tenths NULLS LAST, rain_mm_tenths NULLS LAST, wind_mph_tenths NULLS LAST) AS p FROM live WHERE {0} IS NOT NULL"""
+_STEADY = " UNION ALL ".join(_FIELD.format(*x) for x in (("temp_c_tenths", "temp_c_tenths BETWEEN -900 AND 600", "false"), ("rain_mm_tenths", "rain_mm_tenths BETWEEN 0 AND 3050", "true"), ("wind_mph_tenths", "wind_mph_tenths BETWEEN 0 AND 2540", "true")))
+
+_COUNTER = f"""{_LIVE},
+rain AS (SELECT sensor, at_ms AS t, greatest(coalesce(rain_mm_tenths, 0), 0) AS rain FROM live),
+readings_of AS (SELECT sensor, t, (sum(rain) OVER (PARTITION BY sensor, t // 86400000 ORDER BY t, rain ROWS UNBOUNDED PRECEDING))::DOUBLE AS c FROM rain),
+steps AS (SELECT *, lead(t) OVER w AS nt, lead(c) OVER w AS nc FROM readings_of WINDOW w AS (PARTITION BY sensor ORDER BY t, c)),
+moves AS (SELECT sensor, t, nt, t // 3600000 AS a, nt // 3600000 AS z, CASE WHEN nc < c THEN nc ELSE nc - c END AS inc, CASE WHEN nc < c THEN 1 ELSE 0 END AS reset FROM steps WHERE nt IS NOT NULL),
+pieces AS (SELECT *, unnest(range(a, z + 1)) AS cell FROM moves WHERE z - a - 1 <= 240
+  UNION ALL SELECT *, unnest([a, z]) FROM moves WHERE z - a - 1 > 240),
+parts AS (SELECT sensor, cell, CASE WHEN nt = t THEN inc ELSE inc * (least((cell + 1) * 3600000, nt) - greatest(cell * 3600000, t))::DOUBLE / (nt - t) END AS part, CASE WHEN cell = z THEN reset ELSE 0 END AS reset FROM pieces),
+gained AS (SELECT sensor, cell, sum(part) AS inc, sum(reset)::BIGINT AS resets FROM parts GROUP BY ALL),
+seen AS (SELECT sensor, t // 3600000 AS cell, count(*) AS n FROM readings_of GROUP BY ALL),
+cells AS (SELECT sensor, cell, coalesce(n, 0) AS n, coalesce(inc, 0) AS inc, coalesce(resets, 0) AS resets FROM seen FULL JOIN gained USING (sensor, cell))"""
+
 ORACLE = {
+    "p3_steady": f"""WITH {_LIVE}, f AS ({_STEADY}),
+r AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY sensor, field ORDER BY p) THEN 1 ELSE 0 END AS new FROM f),
+g AS (SELECT *, sum(new) OVER (PARTITION BY sensor, field ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM r),
+l AS (SELECT *, count(*) OVER (PARTITION BY sensor, field, run) AS len FROM g),
+k AS (SELECT sensor, field, count(*) AS n, count(*) FILTER (short) AS rest, count(*) FILTER (short AND new = 0) AS same, count(DISTINCT v) AS kinds
+  FROM (SELECT *, len < 12 AND NOT (zero_ok AND v = 0) AS short FROM l) GROUP BY ALL)
+SELECT sensor, at_ms, field, CASE WHEN possible THEN 'stuck' ELSE 'impossible' END AS kind, v AS value FROM l JOIN k USING (sensor, field)
+WHERE NOT possible OR (len >= 12 AND NOT (zero_ok AND v = 0) AND n * power(CASE WHEN rest > 12 THEN same / (rest - 1.0) ELSE 0 END, len - 1) < 0.01 AND NOT (rest <= 12 AND kinds = 1))""",
+    "p5_rain_counter": f"""WITH {_COUNTER}
+SELECT sensor, cell AS hour, CASE WHEN n > 0 THEN 'observed' ELSE 'filled' END AS state, 1::BIGINT AS cells, n AS readings, round(inc, 4) AS increment, resets FROM cells
+UNION ALL SELECT sensor, a + 1, 'uncovered', z - a - 1, 0, round(inc * ((z - a - 1) * 3600000)::DOUBLE / (nt - t), 4), 0 FROM moves WHERE z - a - 1 > 240""",
     "p1_found": f"""WITH {_ROLLED}
 SELECT sensor, day, 7::INT AS period_days FROM rolled WHERE NOT active AND total_7 > 0
 UNION ALL SELECT sensor, day, 30::INT FROM rolled WHERE NOT active AND total_30 > 0""",
