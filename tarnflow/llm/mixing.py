@@ -18,23 +18,30 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _encodings: dict[str, object] = {}
 
 
-def encoding(path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"):
-    """The byte-level BPE of a vocabulary file, loaded once per process."""
+def encoding(path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", data: bytes | None = None):
+    """The byte-level BPE of a vocabulary file (or of its contents), loaded once per process."""
     if path not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if data is None:
+            with open(path, "rb") as f:
+                data = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         _encodings[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
 
 
 def count_tokens(df: DataFrame, text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """``df`` with ``text`` replaced by its number of tokens, ``tokens``; null text has 0. Texts are read whole."""
+    """``df`` with ``text`` replaced by its number of tokens, ``tokens``; null text has 0. Texts are read whole.
+
+    The vocabulary file is read by the driver and its contents are broadcast, so executors need no copy of it.
+    """
     rest = [c for c in df.columns if c != text]
+    with open(path, "rb") as f:
+        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(path, vocabulary.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[c] for c in rest] + [pa.array(n, pa.int64())], names=[*rest, "tokens"])
@@ -99,21 +106,20 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, schedule: Mapping[str, Sequen
     return grid.groupBy("src", "weight", "repeats", "docs", "tokens", "whole").agg(cum.alias("demand")).withColumn("wanted", F.element_at("demand", -1)).withColumn("share", F.when(F.col("whole") > 0, F.col("wanted") / F.col("whole")))
 
 
-def mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """The selected copies of documents with their training positions: (key, src, copy, tokens, position).
 
     ``docs`` has (key, src, tokens). The documents of a source stand in order of a hash of their key; pass r over
     them starts at r times the source's tokens. A copy whose middle lies before the end of the source's demand is
     taken, up to the permitted repeats, and its position is the time at which the source's cumulative demand reaches
     the copy's start, times the size of the mix. Running totals are formed inside (source, hash bucket) groups and
-    over the bucket sums, so that a source of any size is spread over ``buckets`` groups.
+    over the bucket sums, so that a source of any size is spread over 4,096 groups.
 
     Documents of sources without target, or without tokens, are not selected. Equal keys are different documents
     that follow each other. Sort by (position, key, copy) for the training order.
     """
     h = F.xxhash64(F.col(key))
     d = docs.filter("src is not null and tokens > 0").select(F.col(key), "src", F.col("tokens").cast("bigint"), h.alias("h")).withColumn("b", F.shiftright("h", 52) + F.lit(2048))
-    assert buckets == 4096
     sums = d.groupBy("src", "b").agg(F.sum("tokens").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = small(sums.select("src", "b", before.alias("base")))
@@ -138,24 +144,27 @@ def mix_report(selected: DataFrame, plan: DataFrame) -> DataFrame:
     selection then ends before the source's demand does.
     """
     used = selected.groupBy("src").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("copies"))
-    r = plan.join(F.broadcast(used), "src", "left").fillna(0, ["used", "copies"])
+    r = plan.join(used, "src", "left").fillna(0, ["used", "copies"])
+    whole = r.agg(F.sum("used").alias("all_used"))
     permitted = F.col("tokens") * F.col("repeats")
     short = (permitted < F.col("wanted")) & (F.col("used") == permitted)
-    return r.select(
+    return r.crossJoin(F.broadcast(whole)).select(
         "src", "weight", "share", "docs", "repeats", "copies", F.col("tokens").alias("supply"), F.col("wanted").cast("double").alias("wanted"), "used",
-        (F.col("used") / F.sum("used").over(Window.partitionBy())).alias("actual_share"), short.alias("short"),
+        (F.col("used") / F.col("all_used")).alias("actual_share"), short.alias("short"),
     )
 
 
-def curriculum(documents: DataFrame, targets: DataFrame, key: str = "doc_id", schedule: Mapping[str, Sequence[tuple[float, float]]] | None = None, size: int | None = None, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> tuple[DataFrame, DataFrame]:
+def curriculum(documents: DataFrame, targets: DataFrame, key: str = "doc_id", schedule: Mapping[str, Sequence[tuple[float, float]]] | None = None, size: int | None = None, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", sizes: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, report) for documents (key, text, source) and targets (source, weight, max_repeats).
 
     Sources are compared in lower case without surrounding white space. All documents are tokenised once; their
-    token counts are kept in a checkpoint. Null texts have no tokens; documents of null or unknown source count for
+    token counts are kept in a checkpoint. ``sizes`` is another measure of a document than its tokens, such as a column
+    of counts already made. Null texts have no tokens; documents of null or unknown source count for
     the size of the mix and are not selected. Empty tables give an empty selection, and a report of the targets.
     """
-    counted = cut(count_tokens(documents.select(key, source_name(F.col("source")).alias("src"), "text"), path=path))
-    sizes = counted.groupBy("src").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
-    plan = cut(plan_mix(sizes, targets, schedule, size))
+    src = source_name(F.col("source")).alias("src")
+    counted = cut(count_tokens(documents.select(key, src, "text"), path=path) if sizes is None else documents.select(key, src, sizes.cast("bigint").alias("tokens")))
+    totals = counted.groupBy("src").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    plan = cut(plan_mix(totals, targets, schedule, size))
     selected = mix(counted, plan, key)
     return selected, mix_report(selected, plan)

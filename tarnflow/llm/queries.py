@@ -21,7 +21,7 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per sensor, and for all sensors (sensor null): percentiles with the bound of their rank error."""
     parts = build_sketches(live_rows(table(spark, d, "readings")), ["sensor"], VALUES)
     each = cut(merge_sketches(parts, ["sensor"]))
-    everything = percentiles(merge_sketches(each, spread=16), QS).select(F.lit(None).cast("string").alias("sensor"), "field", "q", "n", "value", "lower", "upper", "rank_error")
+    everything = percentiles(merge_sketches(each), QS).select(F.lit(None).cast("string").alias("sensor"), "field", "q", "n", "value", "lower", "upper", "rank_error")
     return percentiles(each, QS, ["sensor"]).unionByName(everything)
 
 
@@ -32,6 +32,22 @@ def p2_daily(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(merge_sketches(days, ["sensor"]), QS, ["sensor"])
 
 
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the exact ranks of the percentiles lie within their stated error: (sensor, field, q, n, within)."""
+    found = cut(p2_percentiles(spark, d))
+    each = F.inline(F.array(*(F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias("v")) for v in VALUES)))
+    counts = live_rows(table(spark, d, "readings")).select("sensor", each).filter("v is not null").groupBy("sensor", "field", "v").agg(F.count(F.lit(1)).alias("c"))
+    both = counts.unionByName(counts.groupBy("field", "v").agg(F.sum("c").alias("c")).withColumn("sensor", F.lit(None).cast("string")))
+    asked = found.groupBy(F.col("sensor").alias("s"), F.col("field").alias("f")).agg(F.collect_list(F.struct("q", "n", "value", "rank_error")).alias("qs"))
+    x = both.join(asked, F.col("sensor").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f"))).select("sensor", "field", "v", "c", F.explode("qs").alias("a"))
+    below, upto = F.sum(F.when(F.col("v") < F.col("a.value"), F.col("c")).otherwise(0)), F.sum(F.when(F.col("v") <= F.col("a.value"), F.col("c")).otherwise(0))
+    ranks = x.groupBy("sensor", "field", F.col("a.q").alias("q"), F.col("a.n").alias("n"), F.col("a.rank_error").alias("e")).agg(below.alias("below"), upto.alias("upto"))
+    rank = F.col("q") * F.col("n")
+    # the q quantile is the value at rank ceil(q n), so the wanted rank itself lies up to one above
+    within = (F.col("below") <= rank + F.col("e") * F.col("n") + 1) & (F.col("upto") >= rank - F.col("e") * F.col("n") - 1e-6)
+    return ranks.select("sensor", "field", "q", "n", within.alias("within"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(similar(table(spark, d, "base_vectors")))
 
@@ -59,6 +75,12 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), _leaks(spark, d)).select("doc_id", "text", "source")
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The found pairs whose document holds every word of the item as it stands."""
+    docs, items = table(spark, d, "documents").select("doc_id", F.col("text").alias("t")), table(spark, d, "eval_items").select("item_id", F.col("text").alias("i"))
+    return p6_found(spark, d).join(docs, "doc_id").join(F.broadcast(items), "item_id").filter(F.contains("t", "i")).select("doc_id", "item_id").distinct()
+
+
 #: Large sources early, small and scarce ones late.
 TILTED = {"forum": ((0.0, 1.3), (1.0, 0.7)), "station_log": ((0.0, 1.2), (1.0, 0.8)), "manual": ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
 
@@ -80,6 +102,12 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return selected.orderBy("position", "doc_id", "copy")
 
 
+def p7_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix whose sizes are characters: shares, supply and the sources that run short."""
+    _, report = curriculum(table(spark, d, "documents"), table(spark, d, "mix_targets"), sizes=F.coalesce(F.length("text"), F.lit(0)))
+    return report.select("src", "weight", "repeats", "docs", "supply", F.round("share", 9).alias("share"), F.round("wanted", 3).alias("wanted"), "short")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return not_prose(text_quality(table(spark, d, "documents")))
 
@@ -88,12 +116,17 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents"))
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain figures of the texts, which SQL can count too."""
+    return p8_quality(spark, d).select("doc_id", "words", "lines", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("symbol_ratio", 6).alias("symbol_ratio"))
+
+
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p2_daily": p2_daily,
+    "p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p2_checked": p2_checked,
     "p4_found": p4_found, "p4_queries": p4_queries,
-    "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean,
-    "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix,
-    "p8_found": p8_found, "p8_quality": p8_quality,
+    "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p6_whole": p6_whole,
+    "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p7_characters": p7_characters,
+    "p8_found": p8_found, "p8_quality": p8_quality, "p8_counts": p8_counts,
 }
 
 _USABLE = """vectors AS (
@@ -110,6 +143,22 @@ SELECT DISTINCT least(x, y) AS vec_a, greatest(x, y) AS vec_b FROM near""",
 q AS (SELECT query_id AS id, min(val)::DOUBLE[] AS v FROM query_vectors WHERE len(val) = 64 AND len(list_filter(val, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(val, lambda x: x <> 0)) > 0 GROUP BY 1)
 SELECT a.id AS query_id, row_number() OVER w::INT AS rank, b.id AS vec_id, round({_L2}, 6) AS distance FROM q a, vectors b
 WINDOW w AS (PARTITION BY a.id ORDER BY {_L2}, b.id) QUALIFY rank <= 10""",
+    "p2_checked": """WITH live AS (SELECT sensor, at_ms, temp_c_tenths, rain_mm_tenths, wind_mph_tenths FROM readings WHERE sensor IS NOT NULL AND at_ms IS NOT NULL GROUP BY ALL HAVING sum(__w) > 0),
+f AS (SELECT sensor, 'temp_c_tenths' AS field FROM live WHERE temp_c_tenths IS NOT NULL UNION ALL SELECT sensor, 'wind_mph_tenths' FROM live WHERE wind_mph_tenths IS NOT NULL),
+n AS (SELECT sensor, field, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT NULL, field, count(*) FROM f GROUP BY field)
+SELECT sensor, field, q::DOUBLE AS q, n, true AS within FROM n, (VALUES (0.001), (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99), (0.999)) t(q)""",
+    "p6_whole": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN eval_items e ON contains(d.text, e.text)",
+    "p7_characters": """WITH t AS (SELECT lower(trim(source)) AS src, max({'w': weight, 'r': greatest(coalesce(max_repeats, 1), 0)}) AS m FROM mix_targets WHERE weight > 0 AND NOT isnan(weight) AND source IS NOT NULL GROUP BY 1),
+d AS (SELECT lower(trim(source)) AS src, count(*) AS docs, sum(coalesce(length(text), 0))::BIGINT AS size FROM documents GROUP BY 1),
+a AS (SELECT sum(m.w) AS w, (SELECT sum(size) FROM d)::DOUBLE AS size FROM t)
+SELECT t.src, m.w AS weight, m.r::INT AS repeats, coalesce(docs, 0)::BIGINT AS docs, coalesce(d.size, 0)::BIGINT AS supply, round(m.w / a.w, 9) AS share, round(m.w / a.w * a.size, 3) AS wanted,
+coalesce(d.size, 0) * m.r < m.w / a.w * a.size AS short FROM t LEFT JOIN d USING (src), a""",
+    "p8_counts": r"""WITH d AS (SELECT doc_id, replace(text, chr(65279), '') AS t FROM documents),
+x AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{L}\p{Nl}\p{No}]+') AS ws, length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g')) AS dense FROM d)
+SELECT doc_id, CASE WHEN dense > 0 THEN len(ws)::INT END AS words,
+CASE WHEN dense > 0 THEN len(list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda l: regexp_matches(l, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]')))::INT END AS lines,
+CASE WHEN dense > 0 THEN round(coalesce(list_sum(list_transform(ws, lambda w: length(w)))::DOUBLE / nullif(len(ws), 0), 0), 6) END AS mean_word_length,
+CASE WHEN dense > 0 THEN round(length(regexp_replace(t, '[\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g'))::DOUBLE / dense, 6) END AS symbol_ratio FROM x""",
     # a source's shortage is the same in characters as in tokens of any tokenizer
     "p7_found": """WITH t AS (SELECT lower(trim(source)) AS source, max(weight) AS weight, max(max_repeats) AS repeats FROM mix_targets WHERE weight > 0 AND NOT isnan(weight) AND source IS NOT NULL GROUP BY 1),
 d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents GROUP BY 1)

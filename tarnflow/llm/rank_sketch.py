@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.session import cut
+
 SECTIONS = 3
 #: Relative standard error of a rank counted from the protected end, times k (Cormode et al., 2021, as measured).
 RELATIVE = (0.0512 / SECTIONS) ** 0.5
@@ -241,10 +243,16 @@ def _sketch_rows(t: pa.Table, keys: list[str], values: list[str], k: int) -> Ite
             yield pa.RecordBatch.from_arrays([*cols, pa.array([f] * len(kept)), pa.array([sketches[i].to_bytes() for i in kept], pa.binary())], names=[*keys, "field", "sketch"])
 
 
-def merge_sketches(sketches: DataFrame, keys: Sequence[str] = (), spread: int = 0) -> DataFrame:
+#: Sketches that one task adds up for a result, about.
+FAN = 64
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str] = (), spread: int | None = None) -> DataFrame:
     """Sketches added up by ``keys`` and field; their days, files or partitions don't matter.
 
-    ``spread`` first merges in that many groups per result, for results that add up very many sketches.
+    A result of more than FAN sketches is added up as a tree: they are merged in groups of about FAN, and their sums
+    again, until FAN or fewer are left. The sketches are counted for that, and kept. ``spread`` forces one such level
+    of that many groups per result.
     """
     keys = list(keys)
 
@@ -255,16 +263,23 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str] = (), spread: int =
             out.merge(RankSketch.from_bytes(b.as_py()))
         return group.select([*keys, "field"]).slice(0, 1).append_column("sketch", pa.array([out.to_bytes()], pa.binary()))
 
-    if spread > 1:
-        sketches = sketches.groupBy(*keys, "field", F.pmod(F.xxhash64("sketch"), F.lit(spread)).alias("__part")).applyInArrow(merge, _kinds(sketches, keys))
+    levels = [spread] if spread else []
+    if spread is None:
+        sketches = cut(sketches)
+        most = sketches.groupBy(*keys, "field").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+        while most > FAN:
+            most = -(-most // FAN)
+            levels.append(most)
+    for n in levels:
+        sketches = sketches.groupBy(*keys, "field", F.pmod(F.xxhash64("sketch"), F.lit(n)).alias("__part")).applyInArrow(merge, _kinds(sketches, keys))
     return sketches.groupBy(*keys, "field").applyInArrow(merge, _kinds(sketches, keys))
 
 
 def percentiles(sketches: DataFrame, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, field, q, n, value, lower, upper, rank_error) of each sketch.
 
-    ``rank_error`` bounds how far, as a share of the values, the rank of ``value`` is from q (0 where the sketch
-    holds all values); ``lower`` and ``upper`` are the values at those ranks. Groups without values have no sketch
+    ``rank_error`` bounds how far, as a share of the values, the rank of ``value`` is from q: SIGMAS standard errors of
+    the sketch (0 where it holds all values). ``lower`` and ``upper`` are the values at those ranks. Groups without values have no sketch
     and no rows.
     """
     keys, qs = list(keys), sorted(qs)
