@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators.readings import HOUR_MS
 
-_BLOCK = 4096
-
-
 def counter_grid(
     df: DataFrame,
     key: str = "sensor",
@@ -18,6 +15,7 @@ def counter_grid(
     cell_ms: int = HOUR_MS,
     max_empty: int = 240,
     count: str | None = None,
+    cell: str | None = None,
 ) -> DataFrame:
     """One row per key and time cell from readings of a cumulative counter at irregular times.
 
@@ -33,7 +31,8 @@ def counter_grid(
     gained in it). ``samples`` is the sum of ``count`` over the cell, or the number of readings.
 
     Readings of a cell are differenced inside (key, cell) groups; only the first and last reading of a cell meet those
-    of the neighbouring non-empty cells, so no task ever holds all readings of a key. Rows with null key, time or
+    of the neighbouring non-empty cells, so no task ever holds all readings of a key. ``cell`` names a column that has the
+    cells' numbers already: rows partitioned by it and the key are then not shuffled again. Rows with null key, time or
     counter leave; ties in time are ordered by counter; an empty input gives an empty result; other columns of
     ``df`` are ignored.
     """
@@ -43,8 +42,8 @@ def counter_grid(
         F.col(at).cast("bigint").alias("t"),
         (F.col(counter).cast("double") if counter else F.lit(0.0)).alias("c"),
         (F.coalesce(F.col(count).cast("bigint"), F.lit(0)) if count else F.lit(1).cast("bigint")).alias("s"),
+        (F.col(cell) if cell else F.floor(F.col(at).cast("bigint") / F.lit(cell_ms)).cast("bigint")).alias("cell"),
     ).filter("k is not null and t is not null and c is not null")
-    rows = rows.withColumn("cell", F.floor(t / F.lit(cell_ms)).cast("bigint"))
     if counter:
         inside = Window.partitionBy("k", "cell").orderBy("t", "c")
         before = F.lag("c").over(inside)

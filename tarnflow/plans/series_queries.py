@@ -49,13 +49,14 @@ def p5_rain_counter(spark: SparkSession, d: str) -> DataFrame:
     """The gridded rain of a counter that starts again at 0 each UTC day, as it stands at every live reading."""
     rain = F.greatest(F.coalesce(F.col("rain_mm_tenths").cast("bigint"), F.lit(0)), F.lit(0))
     hour = F.floor(F.col("at_ms") / F.lit(HOUR_MS)).cast("bigint")
-    r = _live(spark, d).select("sensor", "at_ms", rain.alias("rain"), hour.alias("h")).repartition("sensor", "h")
+    r = _live(spark, d).select("sensor", "at_ms", rain.alias("rain"), hour.alias("h")).filter("h is not null").repartition("sensor", "h")
     # two levels: what fell in the day's hours before, and running totals inside the hour
     day = Window.partitionBy("sensor", F.floor(F.col("h") / F.lit(24))).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    hours = r.groupBy("sensor", "h").agg(F.sum("rain").alias("total")).select("sensor", "h", F.coalesce(F.sum("total").over(day), F.lit(0)).alias("before"))
+    # both branches ask for the same columns and filters, so that they share one shuffle
+    hours = r.groupBy("sensor", "h").agg(F.sum("rain").alias("total"), F.max("at_ms").alias("last")).filter("last is not null").select("sensor", "h", F.coalesce(F.sum("total").over(day), F.lit(0)).alias("before"))
     inside = Window.partitionBy("sensor", "h").orderBy("at_ms", "rain").rowsBetween(Window.unboundedPreceding, 0)
-    counter = r.withColumn("inside", F.sum("rain").over(inside)).join(hours, ["sensor", "h"], "left").select("sensor", "at_ms", (F.col("before") + F.col("inside")).alias("counter"))
-    g = counter_grid(counter, counter="counter", max_empty=240)
+    counter = r.withColumn("inside", F.sum("rain").over(inside)).join(hours, ["sensor", "h"]).select("sensor", "at_ms", "h", (F.col("before") + F.col("inside")).alias("counter"))
+    g = counter_grid(counter, counter="counter", max_empty=240, cell="h")
     return g.select("sensor", F.col("cell").alias("hour"), "state", "cells", "readings", F.round("increment", 4).alias("increment"), "resets")
 
 
