@@ -31,11 +31,13 @@ def rolling_totals(
     value: str = "rain_mm_tenths",
     periods: Sequence[int] = (7, 30),
     max_gap_days: int = 40,
+    long_pauses: bool = False,
 ) -> DataFrame:
     """Per key and day: totals and averages of ``value`` over the trailing ``periods`` days, that day included.
 
     Days without rows come out as calendar rows (``active`` false) where two successive active days lie at most
-    ``max_gap_days`` apart; after longer pauses the series starts again at the next active day. The denominators
+    ``max_gap_days`` apart; after longer pauses the series starts again at the next active day. With ``long_pauses``
+    longer pauses have calendar rows too, for the days whose trailing periods reach back before the pause. The denominators
     are fixed: a total over p days is divided by p, whatever the number of days with rows. Frames are RANGE frames
     over the integer day number, so they see calendar distance, not row distance. Windows run over one row per key
     and day, whose number the calendar bounds, never over the rows of ``df``.
@@ -47,6 +49,8 @@ def rolling_totals(
     daily = daily_totals(df, key, at, value).withColumn("next", F.lead("day").over(by_day))
     gap = F.col("next") - F.col("day")
     holes = F.when((gap > 1) & (gap <= max_gap_days), F.sequence(F.col("day") + 1, F.col("next") - 1))
+    if long_pauses and max(periods) > 1:
+        holes = holes.when(gap > 1, F.sequence(F.col("day") + 1, F.least(F.col("next"), F.col("day") + max(periods)) - 1))
     days = daily.select("key", "day", "total", "n", F.explode(F.concat(F.array(F.col("day")), F.coalesce(holes, F.array().cast("array<bigint>")))).alias("d"))
     own = F.col("d") == F.col("day")
     cal = days.select("key", F.col("d").alias("day"), own.alias("active"), F.when(own, F.col("n")).otherwise(0).alias("rows"), F.when(own, F.col("total")).otherwise(0).alias("total"))

@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
-    r = rolling_totals(_live(spark, d), periods=PERIODS)
+    r = rolling_totals(_live(spark, d), periods=PERIODS, long_pauses=True)
     return r.select("sensor", "day", "active", "rows", "total_7", F.round("avg_7", 6).alias("avg_7"), "total_30", F.round("avg_30", 6).alias("avg_30"))
 
 
@@ -81,7 +81,7 @@ nexts AS (SELECT *, lead(day) OVER (PARTITION BY sensor ORDER BY day) AS nd FROM
 cal AS (
   SELECT sensor, day, true AS active, n AS rows, total FROM daily
   UNION ALL
-  SELECT sensor, unnest(range(day + 1, nd)) AS day, false, 0, 0 FROM nexts WHERE nd - day > 1 AND nd - day <= 40),
+  SELECT sensor, unnest(range(day + 1, CASE WHEN nd - day <= 40 THEN nd ELSE LEAST_END END)) AS day, false, 0, 0 FROM nexts WHERE nd - day > 1),
 rolled AS (
   SELECT sensor, day, active, rows,
     sum(total) OVER (PARTITION BY sensor ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)::BIGINT AS total_7,
@@ -123,10 +123,10 @@ WHERE NOT possible OR (len >= 12 AND NOT (zero_ok AND v = 0) AND n * power(CASE
     "p5_rain_counter": f"""WITH {_COUNTER}
 SELECT sensor, cell AS hour, CASE WHEN n > 0 THEN 'observed' ELSE 'filled' END AS state, 1::BIGINT AS cells, n AS readings, round(inc, 4) AS increment, resets FROM cells
 UNION ALL SELECT sensor, a + 1, 'uncovered', z - a - 1, 0, round(inc * ((z - a - 1) * 3600000)::DOUBLE / (nt - t), 4), 0 FROM moves WHERE z - a - 1 > 240""",
-    "p1_found": f"""WITH {_ROLLED}
+    "p1_found": f"""WITH {_ROLLED.replace("LEAST_END", "day + 1")}
 SELECT sensor, day, 7::INT AS period_days FROM rolled WHERE NOT active AND total_7 > 0
 UNION ALL SELECT sensor, day, 30::INT FROM rolled WHERE NOT active AND total_30 > 0""",
-    "p1_rolling": f"""WITH {_ROLLED}
+    "p1_rolling": f"""WITH {_ROLLED.replace("LEAST_END", "least(nd, day + 30)")}
 SELECT sensor, day, active, rows, total_7, round(total_7 / 7.0, 6)::DOUBLE AS avg_7, total_30, round(total_30 / 30.0, 6)::DOUBLE AS avg_30 FROM rolled""",
     "p5_found": f"""WITH {_HOURS}
 SELECT sensor, unnest(range(hour + 1, nh)) AS hour FROM edges WHERE nh - hour - 1 BETWEEN 1 AND 240""",

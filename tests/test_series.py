@@ -238,3 +238,11 @@ def test_fields_of_real_numbers_and_other_key_types(spark):
     f = Field("load", 0, 1000, "size", 50, 0.05, 100)
     got = implausible(df, key="k", at="t", fields=[f]).collect()
     assert [(r.k, r.t, r.kind, r.value) for r in got] == [(1, 100_000, "spike", 500.25)]
+
+
+def test_days_after_which_a_pause_goes_on_have_totals_too(spark):
+    df = spark.createDataFrame([("a", 0, 5), ("a", 100 * DAY_MS, 1), ("a", 145 * DAY_MS, 0), ("b", 10**15, 2), ("b", 0, 3)], "sensor string, at_ms bigint, rain_mm_tenths int")
+    r = rolling_totals(df, long_pauses=True)
+    got = {(x.sensor, x.day): x.total_30 for x in r.filter("not active").collect()}
+    assert got == {("a", d): 5 for d in range(1, 30)} | {("a", d): 1 for d in range(101, 130)} | {("b", d): 3 for d in range(1, 30)}
+    assert rolling_totals(df).filter("not active").count() == 0
