@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions.embedding import embed, normalized, stand_in
+from tarnflow.functions.metrics import Metric
 from tarnflow.functions.text import tokenize
 from tarnflow.operators.search import Bm25, VectorIndex, bm25, fuse, knn, knn_join
 from tarnflow.operators.sinks import Bag, Count, Histogram, InvertedIndex, KeyedRanked, Multimap, Ranked, Stats, Table
@@ -242,6 +244,15 @@ def bm25_search(spark, d):
     return bm25(_documents(spark, d), "Rain, BAROMETER!").select("key", F.round("score", 6).alias("score"))
 
 
+_WORDS = "words AS (SELECT doc_id, coalesce(string_split(lower(text), ' '), []) AS t FROM documents), lens AS (SELECT doc_id, len(t) AS dl, t FROM words), st AS (SELECT count(*) AS n, avg(dl::DOUBLE) AS avgdl FROM lens)"
+
+
+@query(_bm25_sql(["rain", "the"], "SELECT doc_id AS key, round(score, 6) AS score FROM s").replace(_TOKENS, _WORDS).replace("tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))", "tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / avgdl))"))
+def bm25_own_tokenizer(spark, d):
+    """A tokenizer and parameters of one's own."""
+    return bm25(_documents(spark, d), "the rain", tokenizer=lambda c: F.split(F.lower(c), " "), k1=0.9, b=0.4).select("key", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_TOKENS} SELECT n AS docs, round(avgdl, 6) AS avgdl FROM st")
 def bm25_doc_stats(spark, d):
     docs = view(Bm25("b"), with_weight(_documents(spark, d)), "b")
@@ -303,6 +314,32 @@ def knn_hamming(spark, d):
     return _knn(spark, d, "hamming")
 
 
+def _near(spark, d, query: Callable[[Column], Column], metric) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    q = v.filter("key % 20 = 0").select(F.col("key").alias("query_key"), query(F.col("embedding")).alias("embedding"))
+    return knn_join(v, q, 10, metric).select("query_key", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(_knn_sql("list_sum(list_transform(list_zip(a.e[1:24], b.e[1:24]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"))
+def knn_short_queries(spark, d):
+    """Queries shorter than the vectors: compared over the shorter length."""
+    return _near(spark, d, lambda e: F.slice(e, 1, 24), "l2")
+
+
+@query(_knn_sql("abs(a.e[1] - b.e[1]) + 3 * abs(a.e[2] - b.e[2])"))
+def knn_own_metric(spark, d):
+    weighted = Metric(lambda a, b: F.abs(a[0] - b[0]) + 3 * F.abs(a[1] - b[1]), lambda q, b: np.abs(q[:, None, 0] - b[None, :, 0]) + 3 * np.abs(q[:, None, 1] - b[None, :, 1]))
+    return _near(spark, d, lambda e: e, weighted)
+
+
+@query(_knn_sql(_zip("abs(x[1] - x[2])"), "list_transform(embedding, lambda y: round(y::DOUBLE * 100)::DOUBLE)"))
+def knn_integers(spark, d):
+    """Vectors of whole numbers by L1."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("int")).alias("embedding"))
+    q = v.filter("key % 20 = 0").withColumnRenamed("key", "query_key")
+    return knn_join(v, q, 10, "l1").select("query_key", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT author AS key, sum(__w)::BIGINT AS n FROM messages GROUP BY 1 HAVING sum(__w) > 0")
 def author_counts(spark, d):
     p = KeyBy("author") >> Aggregate("a") >> Table("t")
@@ -341,6 +378,13 @@ def daily_rain(spark, d):
     return view(p, _readings(spark, d), "rain")
 
 
+@query(f"WITH {_LIVE_READINGS} SELECT sensor, at_ms, t AS temp_c_tenths, w AS n FROM live WHERE at_ms >= (SELECT max(at_ms) FROM live) - 30 * {DAY}::BIGINT")
+def recent_readings(spark, d):
+    """The readings of the last 30 days as they are kept, copies counted."""
+    z = _readings(spark, d)
+    return view(Bag("b"), Retain("r", 30 * DAY).batch(z), "b").select("sensor", "at_ms", "temp_c_tenths", "n")
+
+
 @query("SELECT id AS key, arg_max(text, __seq) AS text FROM memories WHERE id IS NOT NULL GROUP BY 1 HAVING arg_max(__w, __seq) > 0")
 def memory_table(spark, d):
     return _memories(spark, d)
@@ -389,7 +433,7 @@ def embed_text(spark, d):
     return _memories(spark, d).select("key", embed(spark, stand_in(["rain", "wind"]))("text").alias("embedding"))
 
 
-@query()
+@query(r"SELECT doc_id, strip_accents(lower(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFD}]', '', 'g'), '[\s\p{Z}]', ' ', 'g'), '([\p{Han}])', ' \1 ', 'g'))) AS text FROM documents")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", normalized(F.col("text")).alias("text"))
 

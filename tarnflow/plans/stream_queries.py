@@ -15,7 +15,8 @@ from tarnflow.operators.stateless import Filter, KeyBy, Map
 from tarnflow.plans.core_queries import DAY, Z, _bm25_sql, _TOKENS, div, epoch_ms
 from tarnflow.plans.node import Node
 from tarnflow.session import ensure_checkpoint_dir, table
-from tarnflow.streaming.stream import KeyedStream, Snapshot, Stream
+from tarnflow.sources.tables import read_signed, stream_signed, write_signed
+from tarnflow.streaming.stream import KeyedStream, Snapshot, Stream, run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -250,3 +251,50 @@ def keyed_stream_views(spark, d):
 def keyed_stream_replaced(spark, d):
     """The rows that a removal gave back."""
     return _orders(spark, d)[1].select("key", "o_orderkey", "o_orderstatus")
+
+
+class Twice(Node):
+    """An operator of one's own: every row also under its negative number."""
+
+    def batch(self, z: DataFrame) -> DataFrame:
+        return z.unionByName(z.withColumn("event_id", -F.col("event_id")))
+
+
+@query(f"{_LIVE} SELECT s * event_id AS event_id FROM live, (VALUES (1), (-1)) t(s)")
+def stream_own_operator(spark, d):
+    return _view(spark, d, lambda: Map(event_id=F.col("event_id")) >> Twice() >> Bag("b"))["b"].iter().select("event_id")
+
+
+@query(f"{_LIVE} SELECT event_type, user_id, count(*) AS n FROM live GROUP BY 1, 2")
+def stream_micro_batches(spark, d):
+    """Files through Structured Streaming, one commit per micro-batch, and the same again, which changes nothing."""
+    folder = state_folder(spark)
+    e = _events(spark, d).withColumn("__w", F.lit(1).cast("bigint"))
+    gone = F.col("event_id") % 5 == 0
+    write_signed(e.filter("event_id % 2 = 0").coalesce(1), f"{folder}/in")
+    write_signed(e.filter("event_id % 2 = 1").unionByName(e.filter(gone).withColumn("__w", F.lit(-1).cast("bigint"))).coalesce(1), f"{folder}/in", mode="append")
+    s = Stream(spark, f"{folder}/state", Map(event_type=F.col("event_type"), user_id=F.col("user_id")) >> Bag("b"), _events(spark, d).schema)
+    for _ in range(2):
+        run_stream(s, stream_signed(spark, f"{folder}/in", e.schema, maxFilesPerTrigger="2"), f"{folder}/checkpoint").awaitTermination()
+    return s.rtx()["b"].iter()
+
+
+@query("SELECT f AS format, count(*) AS n, sum(w * event_id)::BIGINT AS ids, round(sum(value), 3) AS total FROM (SELECT event_id, value, 1 AS w FROM events), (VALUES ('csv'), ('json'), ('orc'), ('parquet')) t(f) GROUP BY 1")
+def connector_roundtrip(spark, d):
+    """Signed tables written and read in every file format."""
+    folder, e = state_folder(spark), _events(spark, d).withColumn("__w", F.lit(1).cast("bigint"))
+    out = None
+    for fmt in ("csv", "json", "orc", "parquet"):
+        write_signed(e, f"{folder}/{fmt}", fmt, partition=("event_type",) if fmt == "parquet" else ())
+        r = read_signed(spark, f"{folder}/{fmt}", fmt, e.schema).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__w") * F.col("event_id")).alias("ids"), F.round(F.sum("value"), 3).alias("total"))
+        r = r.select(F.lit(fmt).alias("format"), "n", "ids", "total")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query(f"WITH {_LATEST} SELECT k AS key, o_orderkey, o_orderkey IS NOT NULL AS here FROM (VALUES (1::BIGINT), (2), (7), (14), (100), (-5)) t(k) LEFT JOIN (SELECT * FROM last WHERE key % 7 <> 0) l ON l.key = k")
+def keyed_stream_lookup(spark, d):
+    """Single keys of a keyed stream: their rows, and whether they are there."""
+    s, _ = _orders(spark, d)
+    found = [(k, s.get(k), s.contains(k)) for k in (1, 2, 7, 14, 100, -5)]
+    return spark.createDataFrame([(k, r["o_orderkey"] if r else None, here) for k, r, here in found], "key bigint, o_orderkey bigint, here boolean")
