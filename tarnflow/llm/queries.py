@@ -75,10 +75,15 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), _leaks(spark, d)).select("doc_id", "text", "source")
 
 
-def p6_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The found pairs whose document holds every word of the item as it stands."""
-    docs, items = table(spark, d, "documents").select("doc_id", F.col("text").alias("t")), table(spark, d, "eval_items").select("item_id", F.col("text").alias("i"))
-    return p6_found(spark, d).join(docs, "doc_id").join(F.broadcast(items), "item_id").filter(F.contains("t", "i")).select("doc_id", "item_id").distinct()
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The found pairs whose document holds 24 words of the item, from every fourth word on, without any change but case and marks."""
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]+", " "))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit(" "), bare("text"), F.lit(" ")).alias("t"))
+    ws = F.split(bare("text"), " ")
+    windows = F.when(F.size(ws) >= 24, F.transform(F.sequence(F.lit(0), F.size(ws) - 24, F.lit(4)), lambda n: F.concat(F.lit(" "), F.array_join(F.slice(ws, n + 1, 24), " "), F.lit(" "))))
+    items = table(spark, d, "eval_items").select("item_id", windows.alias("ws"))
+    found = p6_found(spark, d).join(docs, "doc_id").join(F.broadcast(items), "item_id")
+    return found.filter(F.exists("ws", lambda w: F.contains(F.col("t"), w))).select("doc_id", "item_id").distinct()
 
 
 #: Large sources early, small and scarce ones late.
@@ -124,7 +129,7 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p2_checked": p2_checked,
     "p4_found": p4_found, "p4_queries": p4_queries,
-    "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p6_whole": p6_whole,
+    "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p6_exact": p6_exact,
     "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p7_characters": p7_characters,
     "p8_found": p8_found, "p8_quality": p8_quality, "p8_counts": p8_counts,
 }
@@ -147,7 +152,10 @@ WINDOW w AS (PARTITION BY a.id ORDER BY {_L2}, b.id) QUALIFY rank <= 10""",
 f AS (SELECT sensor, 'temp_c_tenths' AS field FROM live WHERE temp_c_tenths IS NOT NULL UNION ALL SELECT sensor, 'wind_mph_tenths' FROM live WHERE wind_mph_tenths IS NOT NULL),
 n AS (SELECT sensor, field, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT NULL, field, count(*) FROM f GROUP BY field)
 SELECT sensor, field, q::DOUBLE AS q, n, true AS within FROM n, (VALUES (0.001), (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99), (0.999)) t(q)""",
-    "p6_whole": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN eval_items e ON contains(d.text, e.text)",
+    "p6_exact": """WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
+i AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM eval_items),
+e AS (SELECT item_id, ' ' || array_to_string(ws[n + 1 : n + 24], ' ') || ' ' AS w FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 23, 4)) AS n FROM i))
+SELECT DISTINCT doc_id, item_id FROM d JOIN e ON contains(d.t, e.w)""",
     "p7_characters": """WITH t AS (SELECT lower(trim(source)) AS src, max({'w': weight, 'r': greatest(coalesce(max_repeats, 1), 0)}) AS m FROM mix_targets WHERE weight > 0 AND NOT isnan(weight) AND source IS NOT NULL GROUP BY 1),
 d AS (SELECT lower(trim(source)) AS src, count(*) AS docs, sum(coalesce(length(text), 0))::BIGINT AS size FROM documents GROUP BY 1),
 a AS (SELECT sum(m.w) AS w, (SELECT sum(size) FROM d)::DOUBLE AS size FROM t)
