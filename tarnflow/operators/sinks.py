@@ -158,6 +158,10 @@ class Table(Node):
     def batch(self, z: DataFrame) -> DataFrame:
         return self._rows(last_writes(z, self.keys), z)
 
+    def batch_of_distinct(self, z: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """Every row is the last of its key: nothing is grouped again."""
+        return z.select(*self.keys, *(c for c in data_columns(z) if c not in self.keys)) if list(by) == self.keys else self.batch(z)
+
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         rest = [c for c in data_columns(delta) if c not in self.keys]
         m = last_writes(delta, self.keys)  # a blind write: what was there before doesn't matter

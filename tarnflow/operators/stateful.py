@@ -79,6 +79,8 @@ class Aggregate(Node):
     Null expressions add 0.
     """
 
+    distinct = ("key",)
+
     def __init__(self, name: str, **sums: Column) -> None:
         super().__init__()
         self.name, self.sums = name, {k: checked(c) for k, c in sums.items()}
@@ -115,6 +117,8 @@ class KeyedReduce(Node):
     insertion when called with a negative weight. One group is held by one task: for sums use ``Aggregate``.
     """
 
+    distinct = ("key",)
+
     def __init__(self, name: str, step: Callable[[dict | None, dict, int], dict], schema: str) -> None:
         super().__init__()
         self.name, self.apply_row, self.schema = name, step, schema

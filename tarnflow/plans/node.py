@@ -134,6 +134,8 @@ class Node:
     """An operator. Subclass it for own operators: ``batch`` and, where state is kept, ``step`` and ``name``."""
 
     name: str | None = None
+    #: Columns in which all rows of the batch lowering differ; each of its rows then has the weight 1.
+    distinct: tuple[str, ...] = ()
 
     def __init__(self) -> None:
         self.children: list[Node] = []
@@ -153,6 +155,10 @@ class Node:
     def batch(self, z: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def batch_of_distinct(self, z: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """The batch lowering over rows of weight 1 that differ in the columns ``by``."""
+        return self.batch(z)
+
     def step(self, delta: DataFrame, state: State, ctx: Context) -> Step:
         """One commit; stateless nodes are their own batch lowering."""
         return Step({}, self.batch(delta))
@@ -182,12 +188,12 @@ def views(root: Node | Sequence[Node], z: DataFrame) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     roots = root if isinstance(root, (tuple, list)) else [root]
 
-    def go(node: Node, z: DataFrame) -> None:
-        r = node.batch(z)
+    def go(node: Node, z: DataFrame, by: tuple[str, ...] = ()) -> None:
+        r = node.batch_of_distinct(z, by) if by else node.batch(z)
         if not node.children:
             out[node.name or type(node).__name__] = r
         for c in node.children:
-            go(c, r)
+            go(c, r, node.distinct)
 
     for n in roots:
         go(n, z)
