@@ -195,12 +195,15 @@ KINDS = np.array(["", "impossible", "stuck", "spike"])
 
 
 def _source_days(df: DataFrame, key: str, at: str, block: int) -> DataFrame:
-    """(key, day) -> number of time slices, block, and the neighbouring blocks that the day is context of."""
+    """(key, day) -> number of time slices, block, and the neighbouring blocks that the day is context of.
+
+    Sources of at most ``block`` rows are one block and have no rows here.
+    """
     per_day = df.select(F.col(key).alias("k"), F.floor(F.col(at) / F.lit(DAY_MS)).cast("bigint").alias("d")).filter("k is not null and d is not null").groupBy("k", "d").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("k").orderBy("d")
     whole = Window.partitionBy("k")
     x = per_day.withColumns({"c1": F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(whole)})
-    x = x.withColumns({"c0": F.col("c1") - F.col("n"), "m": F.ceil(F.col("n") / F.lit(block)).cast("int")})
+    x = x.filter(F.col("total") > block).withColumns({"c0": F.col("c1") - F.col("n"), "m": F.ceil(F.col("n") / F.lit(block)).cast("int")})
     # equal blocks of about `block` rows; days above that are cut into m slices of equal time and form blocks of their own
     per = F.ceil(F.col("total") / F.ceil(F.col("total") / F.lit(block)))
     x = x.withColumn("g", F.when(F.col("m") > 1, -F.col("d") * 2 - 1_000_000_000).otherwise(F.floor(F.col("c0") / per).cast("bigint")))
@@ -239,7 +242,8 @@ def implausible(
 
     Long sources are cut into blocks of about ``block`` readings in order of time (days above that into slices of
     equal time), each with the neighbouring readings that its values are compared with, so that no source is held by one
-    task. The table that assigns days to blocks is broadcast only if it is small and joined by shuffle otherwise.
+    task. The table that assigns the days of long sources to blocks is broadcast only if it is small and joined by shuffle
+    otherwise.
 
     All that is judged by is known per source and field, whatever its length and blocks. A first pass over the blocks
     gives their counts of different values, of values that equal their predecessor, their first and last runs and a fit
@@ -257,7 +261,7 @@ def implausible(
     names = [f.name for f in fields]
     days = small(_source_days(df, key, at, block))
     r = live.select(F.col(key).alias("k"), F.col(at).alias("t"), *names).filter("k is not null and t is not null").withColumn("d", F.floor(F.col("t") / F.lit(DAY_MS)).cast("bigint"))
-    r = r.join(days, ["k", "d"])
+    r = r.join(days, ["k", "d"], "left").withColumns({"m": F.coalesce("m", F.lit(1)), "g": F.coalesce("g", F.lit(0).cast("bigint"))})
     f = (F.col("t") - F.col("d") * DAY_MS) / F.lit(float(DAY_MS)) * F.col("m")
     s = F.floor(f).cast("int")
     part = f - s
