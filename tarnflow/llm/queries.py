@@ -34,7 +34,16 @@ def p2_daily(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_checked(spark: SparkSession, d: str) -> DataFrame:
     """Whether the exact ranks of the percentiles lie within their stated error: (sensor, field, q, n, within)."""
-    found = cut(p2_percentiles(spark, d))
+    return _ranks_checked(spark, d, p2_percentiles(spark, d))
+
+
+def p2_daily_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the percentiles added up from days."""
+    return _ranks_checked(spark, d, p2_daily(spark, d))
+
+
+def _ranks_checked(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    found = cut(found)
     each = F.inline(F.array(*(F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias("v")) for v in VALUES)))
     counts = live_rows(table(spark, d, "readings")).select("sensor", each).filter("v is not null").groupBy("sensor", "field", "v").agg(F.count(F.lit(1)).alias("c"))
     both = counts.unionByName(counts.groupBy("field", "v").agg(F.sum("c").alias("c")).withColumn("sensor", F.lit(None).cast("string")))
@@ -86,6 +95,13 @@ def p6_exact(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.exists("ws", lambda w: F.contains(F.col("t"), w))).select("doc_id", "item_id").distinct()
 
 
+def p6_clean_checked(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents there are, and how many stretches of items are left in their cleaned texts."""
+    clean = p6_clean(spark, d)
+    left = leaks(clean, table(spark, d, "eval_items")).agg(F.count(F.lit(1)).alias("left"))
+    return clean.agg(F.count(F.lit(1)).alias("docs")).crossJoin(left)
+
+
 #: Large sources early, small and scarce ones late.
 TILTED = {"forum": ((0.0, 1.3), (1.0, 0.7)), "station_log": ((0.0, 1.2), (1.0, 0.8)), "manual": ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
 
@@ -107,6 +123,18 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return selected.orderBy("position", "doc_id", "copy")
 
 
+def p7_mix_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the mix: whether repeats are capped, its size is that of its demand or of its supply, and each pass is whole before the next."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    selected, report = curriculum(docs, targets, schedule=TILTED)
+    x = cut(selected).groupBy("src").agg(F.max("copy").alias("last"), F.max("tokens").alias("largest"), F.countDistinct("doc_id", "copy").alias("kinds"), F.count_if(F.col("copy") == 0).alias("firsts"), F.min("position").alias("from"), F.max("position").alias("to"))
+    r = report.filter("supply > 0 and repeats > 0").join(x, "src", "left")
+    full = F.col("used") == F.col("supply") * F.col("repeats")
+    near = F.abs(F.col("used") - F.col("wanted")) <= F.col("largest")
+    docs_with_text = F.coalesce(F.col("firsts"), F.lit(0))
+    return r.select("src", (F.col("last") < F.col("repeats")).alias("capped"), (full | near).alias("on_target"), ((F.col("last") == 0) | (docs_with_text > 0)).alias("whole_passes"), ((F.col("from") >= 0) & (F.col("from") <= F.col("to"))).alias("in_order"))
+
+
 def p7_characters(spark: SparkSession, d: str) -> DataFrame:
     """The report of a mix whose sizes are characters: shares, supply and the sources that run short."""
     _, report = curriculum(table(spark, d, "documents"), table(spark, d, "mix_targets"), sizes=F.coalesce(F.length("text"), F.lit(0)))
@@ -121,17 +149,25 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents"))
 
 
+def p8_certain(spark: SparkSession, d: str) -> DataFrame:
+    """The found documents that plainly are tables: nine tenths of their lines have two tabs or bars, or are JSON."""
+    lines = F.filter(F.split("text", "\\R"), lambda x: F.trim(x) != "")
+    rows = F.filter(lines, lambda x: x.rlike(r"^[^\t]*\t[^\t]*\t|^[^|]*\|[^|]*\||^\{.*\}$"))
+    plain = table(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), F.size(rows).alias("r")).filter("n >= 4 and 10 * r >= 9 * n").select("doc_id")
+    return p8_found(spark, d).join(plain, "doc_id")
+
+
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     """The plain figures of the texts, which SQL can count too."""
     return p8_quality(spark, d).select("doc_id", "words", "lines", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("symbol_ratio", 6).alias("symbol_ratio"))
 
 
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p2_checked": p2_checked,
+    "p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p2_checked": p2_checked, "p2_daily_checked": p2_daily_checked,
     "p4_found": p4_found, "p4_queries": p4_queries,
-    "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p6_exact": p6_exact,
-    "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p7_characters": p7_characters,
-    "p8_found": p8_found, "p8_quality": p8_quality, "p8_counts": p8_counts,
+    "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean, "p6_exact": p6_exact, "p6_clean_checked": p6_clean_checked,
+    "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p7_characters": p7_characters, "p7_mix_checked": p7_mix_checked,
+    "p8_found": p8_found, "p8_quality": p8_quality, "p8_counts": p8_counts, "p8_certain": p8_certain,
 }
 
 _USABLE = """vectors AS (
@@ -151,11 +187,20 @@ WINDOW w AS (PARTITION BY a.id ORDER BY {_L2}, b.id) QUALIFY rank <= 10""",
     "p2_checked": """WITH live AS (SELECT sensor, at_ms, temp_c_tenths, rain_mm_tenths, wind_mph_tenths FROM readings WHERE sensor IS NOT NULL AND at_ms IS NOT NULL GROUP BY ALL HAVING sum(__w) > 0),
 f AS (SELECT sensor, 'temp_c_tenths' AS field FROM live WHERE temp_c_tenths IS NOT NULL UNION ALL SELECT sensor, 'wind_mph_tenths' FROM live WHERE wind_mph_tenths IS NOT NULL),
 n AS (SELECT sensor, field, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT NULL, field, count(*) FROM f GROUP BY field)
+SELECT sensor, field, q::DOUBLE AS q, n, true AS within FROM n, (VALUES (0.001), (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99), (0.999)) t(q)""",
+    "p2_daily_checked": """WITH live AS (SELECT sensor, at_ms, temp_c_tenths, rain_mm_tenths, wind_mph_tenths FROM readings WHERE sensor IS NOT NULL AND at_ms IS NOT NULL GROUP BY ALL HAVING sum(__w) > 0),
+f AS (SELECT sensor, 'temp_c_tenths' AS field FROM live WHERE temp_c_tenths IS NOT NULL UNION ALL SELECT sensor, 'wind_mph_tenths' FROM live WHERE wind_mph_tenths IS NOT NULL),
+n AS (SELECT sensor, field, count(*) AS n FROM f GROUP BY ALL)
 SELECT sensor, field, q::DOUBLE AS q, n, true AS within FROM n, (VALUES (0.001), (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99), (0.999)) t(q)""",
     "p6_exact": """WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
 i AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM eval_items),
 e AS (SELECT item_id, ' ' || array_to_string(ws[n + 1 : n + 24], ' ') || ' ' AS w FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 23, 4)) AS n FROM i))
 SELECT DISTINCT doc_id, item_id FROM d JOIN e ON contains(d.t, e.w)""",
+    "p6_clean_checked": "SELECT count(*) AS docs, 0::BIGINT AS left FROM documents",
+    "p7_mix_checked": """WITH t AS (SELECT lower(trim(source)) AS src, max({'w': weight, 'r': greatest(coalesce(max_repeats, 1), 0)}) AS m FROM mix_targets WHERE weight > 0 AND NOT isnan(weight) AND source IS NOT NULL GROUP BY 1)
+SELECT src, true AS capped, true AS on_target, true AS whole_passes, true AS in_order FROM t WHERE m.r > 0 AND src IN (SELECT lower(trim(source)) FROM documents WHERE length(text) > 0)""",
+    "p8_certain": r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]'), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id FROM l WHERE len(ls) >= 4 AND 10 * len(list_filter(ls, lambda x: regexp_matches(x, '^[^\t]*\t[^\t]*\t|^[^|]*\|[^|]*\||^\{.*\}$'))) >= 9 * len(ls)""",
     "p7_characters": """WITH t AS (SELECT lower(trim(source)) AS src, max({'w': weight, 'r': greatest(coalesce(max_repeats, 1), 0)}) AS m FROM mix_targets WHERE weight > 0 AND NOT isnan(weight) AND source IS NOT NULL GROUP BY 1),
 d AS (SELECT lower(trim(source)) AS src, count(*) AS docs, sum(coalesce(length(text), 0))::BIGINT AS size FROM documents GROUP BY 1),
 a AS (SELECT sum(m.w) AS w, (SELECT sum(size) FROM d)::DOUBLE AS size FROM t)
