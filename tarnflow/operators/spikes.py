@@ -60,17 +60,19 @@ class Source:
     """What is known of one field of a source, from all its values.
 
     ``n`` values, of which a share ``same`` equals its predecessor (long runs aside); ``steady`` if there is but one
-    value; ``model`` as from ``fit_steps``; ``reach`` as from ``_reach``.
+    value; ``model`` as from ``fit_steps``, None with too few values; ``reach`` as from ``_reach``.
     """
 
     n: int = 0
     same: float = 0.0
     steady: bool = True
-    model: tuple[float, float] = (0.0, 0.0)
+    model: tuple[float, float] | None = None
     reach: float = 0.0
 
     def scale(self, f: Field) -> float:
         """The scale of the one-step residuals, drawn to ``f.step`` while there are few."""
+        if self.model is None:
+            return f.step
         return float(np.sqrt((self.n * self.model[1] ** 2 + PRIOR * f.step**2) / (self.n + PRIOR)))
 
     def grant(self, f: Field) -> float:
@@ -96,7 +98,7 @@ def _plain(values: np.ndarray, lengths: np.ndarray, f: Field) -> np.ndarray:
 
 
 def _known(n: int, rest: int, same: int, least: float, most: float, model: tuple[float, float] | None, reach: float) -> Source:
-    return Source(n, same / (rest - 1) if rest > STUCK else 0.0, rest <= STUCK and least == most, model or (0.0, 0.0), reach)
+    return Source(n, same / (rest - 1) if rest > STUCK else 0.0, rest <= STUCK and least == most, model, reach)
 
 
 def _of_series(v: np.ndarray, f: Field) -> Source:
@@ -144,7 +146,7 @@ def _spikes(t: np.ndarray, v: np.ndarray, f: Field, s: Source) -> np.ndarray:
     out = np.zeros(len(v), bool)
     if s.n < LEAST or not len(v):
         return out
-    model = (s.model[0], s.scale(f))
+    model = (s.model[0] if s.model else 0.0, s.scale(f))
     if f.scale == "size":
         ceiling = max(f.floor + s.grant(f), TIMES_REACH * s.reach)
         high = v > ceiling
