@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnflow.functions.metrics import Metric, metric_of
 from tarnflow.functions.text import Tokenizer, count_in, tokenize
 from tarnflow.plans.node import GONE, SEQ, Context, Node, Patch, State, Step, hold, touched
-from tarnflow.session import cut, weigh
+from tarnflow.session import cut, measure
 from tarnflow.zset import W, consolidate
 
 K1, B = 1.2, 0.75
@@ -167,7 +168,8 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str | Metric =
     if f is None:
         raise ValueError("a join by a metric of one's own needs its distances of blocks")
     qs = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-qs.count() // block), -(-weigh(qs) // block_bytes))
+    count, size = measure(qs)
+    blocks = max(1, -(-count // block), -(-size // block_bytes))
     out = None
     for n in range(blocks):
         rows = (qs.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n) if blocks > 1 else qs).toArrow()
@@ -207,7 +209,7 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str | Metric =
                 q, d, x = best[0]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(x, types), pa.array(d, pa.float64())], names=["q", "key", "distance"])
 
-        types = base.select(key).limit(0).toArrow().schema.field(0).type
+        types = to_arrow_type(base.schema[key].dataType)
         part = base.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(scan, f"q {kinds[1]}, key {kinds[0]}, distance double")
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "key"))

@@ -75,10 +75,16 @@ def _bytes(c: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("bigint")
 
 
-def weigh(df: DataFrame) -> int:
-    """The bytes of all values of a table, counted where they are."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """The rows of a table and the bytes of all its values, counted where they are."""
     row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW).cast("bigint"))
-    return int(df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("n")).first()["n"])
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()
+    return n["rows"], n["bytes"]
+
+
+def weigh(df: DataFrame) -> int:
+    """The bytes of all values of a table."""
+    return measure(df)[1]
 
 
 def small(df: DataFrame, most: int | None = None) -> DataFrame:
