@@ -14,7 +14,7 @@ from tarnflow.operators.stateful import Aggregate, Distinct, KeyedReduce, Retain
 from tarnflow.operators.stateless import Filter, KeyBy, Map
 from tarnflow.plans.core_queries import DAY, Z, _bm25_sql, _TOKENS, div, epoch_ms
 from tarnflow.plans.node import Node
-from tarnflow.session import ensure_checkpoint_dir, table
+from tarnflow.session import delete_at_end, ensure_checkpoint_dir, table
 from tarnflow.sources.tables import read_signed, stream_signed, write_signed
 from tarnflow.streaming.stream import KeyedStream, Snapshot, Stream, run_stream
 
@@ -31,9 +31,12 @@ def query(sql: str):
 
 
 def state_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's state, beside the checkpoints and deleted with them."""
+    """A new folder for a stream's state, beside the checkpoints; it is deleted when the application ends."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    delete_at_end(spark, folder)
+    return folder
 
 
 class Aborted(Exception):

@@ -39,10 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Has a folder deleted when the application ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where none is set, a temporary one, on a local master only.
 
-    What is checkpointed is deleted when the application ends.
+    A folder set here is deleted when the application ends; one that was set before is left to its owner.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -50,8 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnflow-checkpoint-"))
-        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        delete_at_end(spark, sc.getCheckpointDir())
     return named or sc.getCheckpointDir()
 
 
